@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.llm.runtime import with_locator
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (0.5, 0.0, -0.5)
@@ -74,9 +76,11 @@ def mix(
     slopes: Sequence[float] = SLOPES,
     share: float = 1.5,
     most: int = 2,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, order_key, epochs (times taken), taken, positions (one an epoch)."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), order_key(F.col(id_col)).alias("order_key"))
+    """One row per document: id, source, size, source_size, target, order_key, epochs (times taken), taken, positions (one an epoch), row (a struct of the carried columns)."""
+    row = F.struct(*carry) if carry else F.lit(None).cast("struct<none:boolean>")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), order_key(F.col(id_col)).alias("order_key"), row.alias("row"))
     sized = sized.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     base = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -92,17 +96,12 @@ def mix(
     row = row.withColumn("mids", F.filter(epochs, lambda m: (F.col("size") > 0) & (m < F.col("target"))))
     row = row.withColumn("epochs", F.size("mids").cast("long")).withColumn("taken", F.col("size") * F.col("epochs"))
     row = row.withColumn("positions", F.transform("mids", lambda m: position(m / F.col("target"), F.col("slope"))))
-    return row.select("id", "source", "size", "source_size", "target", "order_key", "epochs", "taken", "positions")
+    return row.select("id", "source", "size", "source_size", "target", "order_key", "epochs", "taken", "positions", "row")
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs as the curriculum plays them: a row for each time a document is taken, range-sorted by training position."""
-    plan = mix(docs, id_col, text_col, source_col, **options).filter("epochs > 0")
-    # Rows that repeat an identifier, source and size share one decision each way round; number them to keep them apart.
-    nth = W.partitionBy("id", "source", "size").orderBy(F.col("epochs").desc())
-    plan = plan.withColumn("nth", F.row_number().over(nth)).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), "positions", "order_key")
-    rows = docs.withColumn("__size2", size_of(F.col(text_col)))
-    rows = rows.withColumn("__nth2", F.row_number().over(W.partitionBy(id_col, source_col, "__size2").orderBy(F.lit(0))))
-    same = rows[id_col].eqNullSafe(plan["__id"]) & rows[source_col].eqNullSafe(plan["__source"]) & (rows["__size2"] == plan["__size"]) & (rows["__nth2"] == plan["__nth"])
-    played = rows.join(plan, same).select(*[rows[c] for c in docs.columns], F.explode("positions").alias("__position"), "order_key")
-    return played.orderBy("__position", "order_key").drop("__position", "order_key")
+    rows = with_locator(docs)
+    plan = mix(rows, id_col, text_col, source_col, carry=("__file", "__row"), **options).filter("epochs > 0")
+    plan = plan.select("row.*", F.explode("positions").alias("__position"), F.col("order_key").alias("__order"))
+    return rows.join(plan, ["__file", "__row"]).orderBy("__position", "__order").drop("__file", "__row", "__position", "__order")

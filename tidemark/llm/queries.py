@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup, token_table, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -26,7 +27,44 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_url_filter, op9_mixing)}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_vectors(spark, table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op8_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_table.token_table(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_minhash_near_dedup, op3_exact_dedup, op4_url_filter, op5_embedding_near_dedup, op6_byte_bpe, op7_quality, op8_token_table, op9_mixing, op10_substring_dedup)
+}
 
 SQL = {
     "op3_exact_dedup": """
@@ -63,4 +101,45 @@ SQL = {
             FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
         )
         SELECT doc_id, size, source_size, target, CAST(size * (CASE WHEN mid < target THEN 1 ELSE 0 END + CASE WHEN mid + source_size < target THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM laid""",
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), shingles AS (
+            SELECT doc_id, unnest(list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id
+            JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(p.n) + any_value(q.n) - count(*))
+        ), both_ways AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach(a, b) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+        )
+        SELECT r.a AS doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r LEFT JOIN sizes s ON s.doc_id = r.a GROUP BY r.a""",
+    "op5_embedding_near_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), usable AS (
+            SELECT * FROM vectors WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= CAST(0.98 AS DOUBLE)
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a
+        )
+        SELECT r.a AS vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = r.a) AS BIGINT) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r GROUP BY r.a""",
+    "op10_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), windows AS (
+            SELECT r, i, array_to_string(w[i : i + 34], ' ') AS passage FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words)
+        ), repeated AS (
+            SELECT passage FROM windows GROUP BY passage HAVING count(*) > 1
+        ), covered AS (
+            SELECT DISTINCT r, i + k AS j FROM windows SEMI JOIN repeated USING (passage), range(35) t(k)
+        ), kept AS (
+            SELECT x.r, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.j) AS text FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words) x ANTI JOIN covered c ON x.r = c.r AND x.j = c.j GROUP BY x.r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (r)""",
 }

@@ -8,7 +8,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _own_dir: str | None = None
@@ -50,6 +52,21 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_locator(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row, which tell every row apart; a table that isn't read from Parquet files is written once first."""
+    if not _from_parquet(docs):
+        docs = cut(docs, "located")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+def _from_parquet(docs: DataFrame) -> bool:
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018  resolved now
+    except AnalysisException:
+        return False
+    return "_metadata" not in docs.columns
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
