@@ -5,7 +5,7 @@ disk-backed RocksDB state store and without expiry, the identifier and locator o
 seen. Groups that were hit more than once are then compared by their full bytes, so equal digests alone decide nothing.
 
 Null text counts as empty. Of equal texts the row with the largest identifier stays (a null identifier is below all
-others); of rows that repeat it, the one with the largest locator. An empty table gives an empty result. Other columns
+others); of rows that repeat it, the one with the largest locator (file and row). An empty table gives an empty result. Other columns
 are not looked at, so their names may clash with anything.
 """
 
@@ -14,22 +14,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import fresh_path
+from tidemark.llm.runtime import fresh_path, with_locator
 
-STATE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore"
+STORE = {
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.allowFAllocate": "false",  # many small stores: no megabytes set aside for each one's logs
+    f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, digest, file, row): where a row stands in its file, for tables read from files."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    try:
-        at = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        at.schema  # noqa: B018  resolved here, so a table without files shows itself now
-    except Exception as e:  # an in-memory table has no file metadata
-        if "_metadata" not in str(e):
-            raise
-        at = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("row"))
+def located(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, digest, file, row) of rows with a locator."""
+    at = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     return at.withColumn("digest", F.sha2("text", 256))
 
 
@@ -40,8 +37,9 @@ def dedup_stream(events: DataFrame) -> DataFrame:
 
 def run_stream(spark: SparkSession, events_path: str, schema, out: str, checkpoint: str) -> None:
     """Drain the events through the state store. Each micro-batch writes the groups it changed; a repeated batch overwrites itself."""
-    before = spark.conf.get(STATE)
-    spark.conf.set(STATE, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         stream = dedup_stream(spark.readStream.schema(schema).parquet(events_path))
         query = (
@@ -52,13 +50,17 @@ def run_stream(spark: SparkSession, events_path: str, schema, out: str, checkpoi
             .start()
         )
     finally:
-        spark.conf.set(STATE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     query.awaitTermination()
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, and the locator (file, row)."""
-    rows = located(docs, id_col, text_col)
+    return _decide(spark, located(with_locator(docs), id_col, text_col))
+
+
+def _decide(spark: SparkSession, rows: DataFrame) -> DataFrame:
     events_path, out = fresh_path(spark, "dedup-events"), fresh_path(spark, "dedup-groups")
     rows.select("id", "digest", "file", "row").write.parquet(events_path)
     events = spark.read.parquet(events_path)
@@ -88,17 +90,6 @@ def _by_bytes(rows: DataFrame, groups: DataFrame, unequal: DataFrame) -> DataFra
 
 def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops."""
-    kept = exact_dedup(spark, docs, id_col, text_col).filter("kept").select("id", "file", "row")
-    rows = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")) if _has_files(docs) else docs.select("*", F.lit(0).cast("long").alias("__file"), F.lit(0).cast("long").alias("__row"))
-    same = rows[id_col].eqNullSafe(kept["id"]) & (rows["__file"] == kept["file"]) & (rows["__row"] == kept["row"])
-    return rows.join(kept, same, "left_semi").drop("__file", "__row")
-
-
-def _has_files(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.row_index").schema  # noqa: B018
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        return False
-    return True
+    rows = with_locator(docs)
+    gone = _decide(spark, located(rows, id_col, text_col)).filter("not kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    return rows.join(gone, ["__file", "__row"], "left_anti").drop("__file", "__row")
