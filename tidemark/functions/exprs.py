@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,10 +95,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """n words joined by spaces; none where there are fewer."""
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(n))))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda would compute it anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ngrams(words: Column, *sizes: int) -> Column:
+    """Runs of words joined by spaces, size by size; none of a size where there are fewer words."""
+
+    def runs(w: Column, n: int) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(n))))
+
+    return let(words, lambda w: F.concat(*[runs(w, n) for n in sizes]))
 
 
 def md5_bucket(term: Column, dims: int) -> Column:
@@ -136,4 +145,4 @@ def mentions_month(columns: Sequence[str], months: Sequence[str]) -> Column:
 
 
 def lineage(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

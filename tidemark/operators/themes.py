@@ -44,8 +44,7 @@ def facts(tables: Tables) -> DataFrame:
 
 def terms(text: Column, sizes: Sequence[int] = NGRAMS) -> Column:
     """Words and runs of words."""
-    words = tokens(text)
-    return F.concat(*[ngrams(words, n) for n in sizes])
+    return ngrams(tokens(text), *sizes)
 
 
 def sparse_vectors(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:

@@ -49,7 +49,7 @@ _RATIO = "CASE WHEN denominator > 0 THEN CAST(numerator AS DOUBLE) / CAST(denomi
 _add("dedup_events", "SELECT source_transaction_id, transaction_id, account_id, transaction_type, is_disputed FROM flagged WHERE kept")
 _add("removed_duplicates", "SELECT source_transaction_id, transaction_id, transaction_type FROM flagged WHERE NOT kept")
 _KEYS = "per_key AS (SELECT source_transaction_id, count(*) AS n FROM transactions GROUP BY 1)"
-_add("duplicate_count", "SELECT CAST(sum(n - 1) AS BIGINT) AS surplus_rows, CAST(count_if(n > 1) AS BIGINT) AS repeated_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_involved FROM per_key", _KEYS)
+_add("duplicate_count", "SELECT CAST(sum(n - 1) AS BIGINT) AS surplus_rows, CAST(count(CASE WHEN n > 1 THEN 1 END) AS BIGINT) AS repeated_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_involved FROM per_key", _KEYS)
 _add("top_batches", "SELECT ingestion_batch_id, count(*) AS duplicate_rows FROM transactions SEMI JOIN (SELECT * FROM per_key WHERE n > 1) r USING (source_transaction_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", _KEYS)
 
 
@@ -63,7 +63,7 @@ _monthly("fraud_rate_monthly", "flagged WHERE transaction_type = 'purchase' AND
 _monthly("payment_failure_monthly", "flagged WHERE transaction_type = 'payment' AND kept", "sum(payment_failed)")
 _monthly("balance_delinquency_monthly", "snapshots WHERE active_flag = 1", "sum(statement_balance * is_30dpd)", "sum(statement_balance)")
 _monthly("charge_off_monthly", "snapshots WHERE active_flag = 1", "sum(charge_off_balance * 12)", "sum(statement_balance)")
-_monthly("fee_share_monthly", "complaints", "count_if(issue = 'Fees or interest')")
+_monthly("fee_share_monthly", "complaints", "count(CASE WHEN issue = 'Fees or interest' THEN 1 END)")
 _add(
     "complaint_rate_monthly",
     f"SELECT month, CAST(numerator AS DOUBLE) AS numerator, CAST(denominator AS DOUBLE) AS denominator, {_RATIO} * 1000 AS value FROM sums",
@@ -165,7 +165,7 @@ _add(
     "cc AS (SELECT c.month, unnest(['product_type', 'customer_segment', 'fico_band', 'region']) AS segment_name, unnest([a.product_type, c.customer_segment, c.fico_band, a.region]) AS segment_value FROM complaints c LEFT JOIN accounts a USING (account_id))",
     "aa AS (SELECT s.month, s.account_id, unnest(['product_type', 'customer_segment', 'fico_band', 'region']) AS segment_name, unnest([a.product_type, a.customer_segment, a.fico_band, a.region]) AS segment_value FROM snapshots s LEFT JOIN accounts a USING (account_id) WHERE active_flag = 1)",
     f"""moved AS (SELECT segment_name, segment_value, CAST(coalesce(x.pn, 0) AS DOUBLE) AS pn, CAST(coalesce(x.cn, 0) AS DOUBLE) AS cn, CAST(coalesce(y.pd, 0) AS DOUBLE) AS pd, CAST(coalesce(y.cd, 0) AS DOUBLE) AS cd
-        FROM (SELECT segment_name, segment_value, count_if(month = '{Q.TEXT_BEFORE}') AS pn, count_if(month = '{Q.TEXT_NOW}') AS cn FROM cc WHERE segment_value IS NOT NULL AND month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}') GROUP BY 1, 2) x
+        FROM (SELECT segment_name, segment_value, count(CASE WHEN month = '{Q.TEXT_BEFORE}' THEN 1 END) AS pn, count(CASE WHEN month = '{Q.TEXT_NOW}' THEN 1 END) AS cn FROM cc WHERE segment_value IS NOT NULL AND month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}') GROUP BY 1, 2) x
         FULL JOIN (SELECT segment_name, segment_value, count(DISTINCT account_id) FILTER (month = '{Q.TEXT_BEFORE}') AS pd, count(DISTINCT account_id) FILTER (month = '{Q.TEXT_NOW}') AS cd FROM aa WHERE segment_value IS NOT NULL AND month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}') GROUP BY 1, 2) y USING (segment_name, segment_value))""",
 )
 _add("missing_bucket", "SELECT CASE WHEN merchant_category IS NULL OR trim(merchant_category) = '' THEN '__missing__' ELSE merchant_category END AS merchant_category, count(*) AS rows, CAST(sum(is_disputed) AS BIGINT) AS disputed FROM transactions GROUP BY 1")
@@ -174,15 +174,15 @@ _add("missing_bucket", "SELECT CASE WHEN merchant_category IS NULL OR trim(merch
 
 _REQUIRED = ("transaction_id", "account_id", "merchant_category", "channel", "transaction_amount")
 _bad = {c: (f"({c} IS NULL)" if c == "transaction_amount" else f"({c} IS NULL OR trim({c}) = '')") for c in _REQUIRED}
-_add("completeness", f"SELECT count_if({' OR '.join(_bad.values())}) AS rows_with_blank, {', '.join(f'count_if({v}) AS blank_{k}' for k, v in _bad.items())} FROM transactions")
-_add("date_order_violations", "SELECT count_if(posted_date < transaction_date) AS violations, CAST(min(date_diff('day', CAST(transaction_date AS DATE), CAST(posted_date AS DATE))) AS INT) AS min_lag, CAST(max(date_diff('day', CAST(transaction_date AS DATE), CAST(posted_date AS DATE))) AS INT) AS max_lag, count(*) AS rows FROM transactions")
+_add("completeness", f"SELECT count(CASE WHEN {' OR '.join(_bad.values())} THEN 1 END) AS rows_with_blank, {', '.join(f'count(CASE WHEN {v} THEN 1 END) AS blank_{k}' for k, v in _bad.items())} FROM transactions")
+_add("date_order_violations", "SELECT count(CASE WHEN posted_date < transaction_date THEN 1 END) AS violations, CAST(min(date_diff('day', CAST(transaction_date AS DATE), CAST(posted_date AS DATE))) AS INT) AS min_lag, CAST(max(date_diff('day', CAST(transaction_date AS DATE), CAST(posted_date AS DATE))) AS INT) AS max_lag, count(*) AS rows FROM transactions")
 _SIGNS = {
     "purchase_not_positive": "transaction_type = 'purchase' AND NOT coalesce(transaction_amount > 0, false)",
     "fee_not_positive": "transaction_type = 'fee' AND NOT coalesce(transaction_amount > 0, false)",
     "paid_payment_not_negative": "transaction_type = 'payment' AND payment_failed = 0 AND NOT coalesce(transaction_amount < 0, false)",
     "failed_payment_not_zero": "transaction_type = 'payment' AND payment_failed = 1 AND NOT coalesce(transaction_amount = 0, false)",
 }
-_add("amount_sign_rules", f"SELECT {', '.join(f'count_if({v}) AS {k}' for k, v in _SIGNS.items())}, count_if({' OR '.join(f'({v})' for v in _SIGNS.values())}) AS rows_in_violation FROM transactions")
+_add("amount_sign_rules", f"SELECT {', '.join(f'count(CASE WHEN {v} THEN 1 END) AS {k}' for k, v in _SIGNS.items())}, count(CASE WHEN {' OR '.join(f'({v})' for v in _SIGNS.values())} THEN 1 END) AS rows_in_violation FROM transactions")
 _add("accepted_values", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS field, CAST(coalesce(sum(n), 0) AS BIGINT) AS violations, coalesce(string_agg(v, ', ' ORDER BY v) FILTER (r <= 5), '') AS examples FROM (SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY {c}) AS r FROM {t} WHERE {c} IS NOT NULL AND trim({c}) <> '' AND {c} NOT IN ({_list(d)}) GROUP BY {c})" for (t, c), d in Q.DOMAINS.items()))
 _add("fk_orphans", " UNION ALL ".join(f"SELECT '{name}' AS child, count(*) AS orphan_rows, count(DISTINCT account_id) AS orphan_keys FROM {t} ANTI JOIN accounts USING (account_id)" for name, t in (("transactions", "transactions"), ("complaints", "complaints"), ("account_monthly_snapshot", "snapshots"))))
 
@@ -206,7 +206,7 @@ _add("worst_month_scan", _worst(extra="rows, "), _COUNTS, _scanned(_ZERO))
 _add(
     "null_rate_drift",
     _worst("field", "blanks, rows, ", "round(value, 9)"),
-    "series AS (SELECT field, month, blanks, rows, CAST(blanks AS DOUBLE) / rows AS value FROM (SELECT month, count(*) AS rows, unnest(['merchant_category', 'channel', 'posted_date']) AS field, unnest([count_if(merchant_category IS NULL OR trim(merchant_category) = ''), count_if(channel IS NULL OR trim(channel) = ''), count_if(posted_date IS NULL)]) AS blanks FROM transactions GROUP BY 1))",
+    "series AS (SELECT field, month, blanks, rows, CAST(blanks AS DOUBLE) / rows AS value FROM (SELECT month, count(*) AS rows, unnest(['merchant_category', 'channel', 'posted_date']) AS field, unnest([count(CASE WHEN merchant_category IS NULL OR trim(merchant_category) = '' THEN 1 END), count(CASE WHEN channel IS NULL OR trim(channel) = '' THEN 1 END), count(CASE WHEN posted_date IS NULL THEN 1 END)]) AS blanks FROM transactions GROUP BY 1))",
     _scanned(_NULLS, "field"),
 )
 _add("kpi_anomaly", _worst(extra="rows, "), "series AS (SELECT month, CAST(sum(is_disputed) AS BIGINT) AS rows, CAST(sum(is_disputed) AS DOUBLE) / count(*) AS value FROM transactions WHERE transaction_type = 'purchase' GROUP BY 1)", _scanned(_KPI))
@@ -217,17 +217,17 @@ _add(
     "mix AS (SELECT m.month, b.bucket, coalesce(n, 0) AS rows, coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY m.month) AS DOUBLE) AS share FROM (SELECT DISTINCT month FROM counts) m CROSS JOIN (SELECT DISTINCT bucket FROM counts) b LEFT JOIN counts c ON c.month = m.month AND c.bucket = b.bucket)",
     "terms AS (SELECT *, (greatest(share, 1e-6) - greatest(expected, 1e-6)) * ln(greatest(share, 1e-6) / greatest(expected, 1e-6)) AS term FROM (SELECT *, avg(share) OVER w AS expected, count(share) OVER w AS history FROM mix WINDOW w AS (PARTITION BY bucket ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) WHERE history >= 3)",
 )
-ORACLE["governance_completeness"] = "SELECT count_if(p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR trim(p_name) = '' OR trim(p_type) = '' OR trim(p_brand) = '') AS incomplete_metrics, '' AS missing_columns, count(*) AS metrics FROM part"
+ORACLE["governance_completeness"] = "SELECT count(CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR trim(p_name) = '' OR trim(p_type) = '' OR trim(p_brand) = '' THEN 1 END) AS incomplete_metrics, '' AS missing_columns, count(*) AS metrics FROM part"
 ORACLE["quality_summary"] = """
     WITH results AS (SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS check_name, CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'P' THEN 'warn' ELSE 'fail' END AS status FROM orders)
-    SELECT count(*) AS total, count_if(status = 'pass') AS passed, count_if(status = 'warn') AS warned, count_if(status = 'fail') AS failed, (count_if(status = 'pass') + count_if(status = 'warn') * CAST(0.5 AS DOUBLE)) / count(*) AS weighted_pass_rate,
+    SELECT count(*) AS total, count(CASE WHEN status = 'pass' THEN 1 END) AS passed, count(CASE WHEN status = 'warn' THEN 1 END) AS warned, count(CASE WHEN status = 'fail' THEN 1 END) AS failed, (count(CASE WHEN status = 'pass' THEN 1 END) + count(CASE WHEN status = 'warn' THEN 1 END) * CAST(0.5 AS DOUBLE)) / count(*) AS weighted_pass_rate,
         coalesce(string_agg(check_name, '|' ORDER BY check_name) FILTER (status = 'fail'), '') AS failed_checks, coalesce(string_agg(check_name, '|' ORDER BY check_name) FILTER (status = 'warn'), '') AS warned_checks FROM results"""
 
 # --- text ----------------------------------------------------------------------------
 
 _add(
     "keyword_probes",
-    "SELECT probe, previous, current, current - previous AS change FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS probe, count_if(month = '{Q.TEXT_BEFORE}' AND regexp_matches(narrative, '{p}')) AS previous, count_if(month = '{Q.TEXT_NOW}' AND regexp_matches(narrative, '{p}')) AS current FROM complaints" for k, p in Q.PROBES.items()) + ")",
+    "SELECT probe, previous, current, current - previous AS change FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS probe, count(CASE WHEN month = '{Q.TEXT_BEFORE}' AND regexp_matches(narrative, '{p}') THEN 1 END) AS previous, count(CASE WHEN month = '{Q.TEXT_NOW}' AND regexp_matches(narrative, '{p}') THEN 1 END) AS current FROM complaints" for k, p in Q.PROBES.items()) + ")",
 )
 _TOKENS = "tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)"
 ORACLE["tokenize"] = f"WITH {_TOKENS} SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM tok"
@@ -257,7 +257,7 @@ _add("theme_assignment", "SELECT complaint_id, theme_name, round(theme_similarit
 def _theme_counts(keys: str, skeleton: str, within: str) -> str:
     return f"""SELECT {keys}, p AS previous_complaints, c AS current_complaints, c - p AS complaint_change, p / nullif(CAST(sum(p) OVER ({within}) AS DOUBLE), 0) AS previous_share, c / nullif(CAST(sum(c) OVER ({within}) AS DOUBLE), 0) AS current_share,
         c / nullif(CAST(sum(c) OVER ({within}) AS DOUBLE), 0) - p / nullif(CAST(sum(p) OVER ({within}) AS DOUBLE), 0) AS share_change, round(a, 9) AS avg_similarity
-        FROM (SELECT {keys}, coalesce(p, 0) AS p, coalesce(c, 0) AS c, a FROM ({skeleton}) LEFT JOIN (SELECT {keys}, count_if(month = '{Q.TEXT_BEFORE}') AS p, count_if(month = '{Q.TEXT_NOW}') AS c, avg(theme_similarity) AS a FROM recent GROUP BY ALL) USING ({keys}))"""
+        FROM (SELECT {keys}, coalesce(p, 0) AS p, coalesce(c, 0) AS c, a FROM ({skeleton}) LEFT JOIN (SELECT {keys}, count(CASE WHEN month = '{Q.TEXT_BEFORE}' THEN 1 END) AS p, count(CASE WHEN month = '{Q.TEXT_NOW}' THEN 1 END) AS c, avg(theme_similarity) AS a FROM recent GROUP BY ALL) USING ({keys}))"""
 
 
 _THEMES = f"(SELECT unnest([{_list(Q.TAXONOMY)}]) AS theme_name)"

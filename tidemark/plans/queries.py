@@ -307,14 +307,14 @@ def keyword_probes(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    words = X.tokens(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.md5(F.array_join(words, " ").cast("binary")).alias("tokens_md5"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("tokens_md5"))
 
 
 @query
 def ngrams(spark, sf_dir):
-    pairs = X.ngrams(X.tokens(F.col("text")), 2)
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(pairs).alias("n_pairs"), F.md5(F.array_join(pairs, "|").cast("binary")).alias("pairs_md5"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", X.ngrams(X.tokens(F.col("text")), 2).alias("p"))
+    return rows.select("doc_id", F.size("p").alias("n_pairs"), F.md5(F.array_join("p", "|").cast("binary")).alias("pairs_md5"))
 
 
 @query
