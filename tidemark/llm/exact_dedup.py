@@ -75,7 +75,8 @@ def _decide(spark: SparkSession, rows: DataFrame) -> DataFrame:
     if not unequal.isEmpty():
         groups = _by_bytes(rows, groups, unequal)
         events = rows.select("id", "digest", "file", "row", F.col("text").alias("bytes")).join(unequal, "digest", "left_semi").unionByName(events.join(unequal, "digest", "left_anti").withColumn("bytes", F.lit(None).cast("string")))
-        found = events.join(groups, (events["digest"] == groups["digest"]) & events["bytes"].eqNullSafe(groups["bytes"])).drop(groups["digest"])
+        own = groups.select(F.col("digest").alias("group_digest"), F.col("bytes").alias("group_bytes"), "stays", "group_size")
+        found = events.join(own, (F.col("digest") == F.col("group_digest")) & F.col("bytes").eqNullSafe(F.col("group_bytes")))
     else:
         found = events.join(groups, "digest")
     same = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("file") == F.col("stays.file")) & (F.col("row") == F.col("stays.row"))
