@@ -2,20 +2,19 @@
 
 A suffix starts at each word. What decides is whether its first LENGTH words start anywhere else: that is whether it lies
 below an internal node of the suffix tree at depth LENGTH or more. The tree is never held whole. Its suffixes are split by
-prefixes of varying length:
+prefixes of varying length into groups of bounded size:
 
-1. Every run of LENGTH words holds a run of SHORT words with the least hash among its own, at the same place wherever the
+1. Every run of LENGTH words holds a run of SHORT words with the least digest among its own, at the same place wherever the
    passage stands. Only these sampled short prefixes (two in thirty) are dealt out and counted. Suffixes whose prefix is alone
    have no sibling and drop out here; no repeat is lost.
-2. The others go on to the full depth. A node at depth LENGTH is held as its path digest rather than as text, which would be
-   written LENGTH times over. Nodes are counted with partial sums, so a passage in a third of all rows is a row a task.
-   Nodes with two suffixes or more are the deep internal nodes; their suffixes are the repeats, and neighbours join into
-   maximal ones.
-
-A path digest is 64 bits of a seeded polynomial over 64-bit word digests; suffixes meet only if both the short prefix's and
-the full path's agree, 128 bits together. Words are taken unchanged; null text has none. Rows that repeat an identifier
-count as documents of their own (told apart by their text; identical rows repeat each other). An empty table gives an empty
-result. Other columns are not read.
+2. Groups of at most GROUP occurrences get their subtree: for each occurrence the words that its suffixes need are sent once,
+   as text, the suffixes are sorted, and neighbours that share LENGTH words lie below one deep internal node.
+3. In larger groups the prefix grows to the full depth at once. A node is then a pair of 64-bit digests, of the short prefix
+   and of all LENGTH words, and nodes are counted with partial sums: a passage in a third of all rows is a row a task.
+
+Repeated suffixes that follow one another are one maximal repeat. Words are taken unchanged; null text has none. Rows that
+repeat an identifier count as documents of their own (told apart by their text; identical rows repeat each other). An empty
+table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.runtime import ship
 
-LENGTH, SHORT = 35, 8
+LENGTH, SHORT, GROUP = 35, 8, 4_096
 
 
 def sampled(short: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,24 +68,121 @@ def _prefixes(length: int, short: int):
     return run
 
 
+def _occurrences(length: int, short: int):
+    """For each shared prefix the suffixes that it stands for: prefix, id, th, start (of the first), n (their number), words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = batch.column("small")
+            rows, keys, first, number, passages = [], [], [], [], []
+            for i, _, buf, offs in words.slices(batch.column("text")):
+                starts, ends, at = words.find(buf, offs)
+                h = words.hashes(buf, starts, ends)
+                data = buf.tobytes()
+                for row, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False), i):
+                    wanted = shared[row].values.to_numpy() if shared[row].is_valid else ()
+                    if not len(wanted):
+                        continue
+                    s = words.windows(h[a:b], short)
+                    least, places = sampled(s, length - short + 1)
+                    begin = np.searchsorted(least, places)  # places only grow with the window's start
+                    count = np.diff(np.append(begin, len(least)))
+                    for k in np.flatnonzero(np.isin(places, wanted)).tolist():
+                        x, n = int(begin[k]), int(count[k])
+                        rows.append(row)
+                        keys.append(s[places[k]])
+                        first.append(x)
+                        number.append(n)
+                        passages.append(b" ".join([data[p:q] for p, q in zip(starts[a + x : a + x + n + length - 1].tolist(), ends[a + x : a + x + n + length - 1].tolist(), strict=True)]))
+            if rows:
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column("id").take(take), batch.column("th").take(take), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(passages, pa.binary())], ["prefix", "id", "th", "start", "n", "words"]
+                )
+
+    return run
+
+
+def deep(table: pa.RecordBatch, length: int) -> pa.Array:
+    """For each occurrence, a bit for each of its suffixes: is it below a node of depth `length`? Groups are whole."""
+    passages = table.column("words")
+    found = [(h, w) for _, h, w in _words_of(passages)]
+    _, symbols = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)  # digests become ranks: four bytes, none confused
+    ends = np.cumsum([w for _, w in found])
+    n = table.column("n").to_numpy()
+    owner = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.concatenate(([0], ends[:-1])))[owner] + nth
+    suffixes = np.empty((len(owner), length + 2), ">u4")
+    suffixes[:, :2] = table.column("prefix").to_numpy()[owner].astype(">i8").view(">u4").reshape(-1, 2)
+    suffixes[:, 2:] = symbols[at[:, None] + np.arange(length)]
+    order = np.argsort(suffixes.view(f"V{4 * (length + 2)}").ravel(), kind="stable")
+    ranked = suffixes[order]
+    same = (ranked[1:] == ranked[:-1]).all(axis=1)  # common prefix of neighbours: LENGTH words
+    below = np.zeros(len(owner), bool)
+    below[order[1:][same]] = True
+    below[order[:-1][same]] = True
+    masks = np.zeros(len(n), np.int64)
+    np.bitwise_or.at(masks, owner, below.astype(np.int64) << nth)
+    return pa.array(masks)
+
+
+def _words_of(passages: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
+    row = 0
+    for _, _, buf, offs in words.slices(passages):
+        starts, ends, at = words.find(buf, offs)
+        h = words.hashes(buf, starts, ends)
+        for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+            yield row, h[a:b], b - a
+            row += 1
+
+
+def _subtrees(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def judged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if rows.num_rows:
+                masks = deep(rows, length)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("th"), rows.column("start"), masks], ["id", "th", "at", "mask"]).filter(pc.greater(masks, 0))
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, GROUP):
+                part = batch.slice(i, GROUP)
+                prefix = part.column("prefix").to_numpy()
+                cut = int(np.searchsorted(prefix, prefix[-1]))  # sorted: the last group may go on
+                if held and held[-1].column("prefix")[0].as_py() == prefix[0] and not cut:
+                    held.append(part)
+                    continue
+                whole = [*held, part.slice(0, cut)]
+                held = [part.slice(cut)]
+                yield from judged(pa.Table.from_batches(whole).combine_chunks().to_batches()[0] if sum(x.num_rows for x in whole) else part.slice(0, 0))
+        if held:
+            yield from judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
 def _suffixes(length: int, short: int):
+    """Suffixes of prefixes that occur too often for one group: prefix, node (digest of all their words), id, th, at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = batch.column("ats")
+            shared = batch.column("large")
             rows, keys, nodes, places = [], [], [], []
             for row, h in _texts(batch):
+                if not shared[row].is_valid or not len(shared[row].values):
+                    continue
                 s = words.windows(h, short)
                 least, _ = sampled(s, length - short + 1)
                 at = np.flatnonzero(np.isin(least, shared[row].values.to_numpy()))
-                if len(at):
-                    # The window's own digest is taken only where it may repeat.
-                    path = np.full(len(at), length, np.uint64)
-                    for j in range(length):
-                        path = path * words._WORD_BASE + h[at + j]
-                    rows.append(np.full(len(at), row))
-                    keys.append(s[least[at]] + at.astype(np.uint64) - least[at].astype(np.uint64))
-                    nodes.append(words.mix(path))
-                    places.append(at)
+                path = np.full(len(at), length, np.uint64)
+                for j in range(length):
+                    path = path * words.WORD_BASE + h[at + j]
+                rows.append(np.full(len(at), row))
+                keys.append(s[least[at]] + (least[at] - at).astype(np.uint64))
+                nodes.append(words.mix(path))
+                places.append(at)
             if rows:
                 take = pa.array(np.concatenate(rows))
                 node = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes)]
@@ -105,7 +202,9 @@ def _strip(length: int):
                 for row, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False), i):
                     cover = np.zeros(b - a + 1, np.int64)
                     if repeats[row].is_valid:
-                        where = repeats[row].values.to_numpy()
+                        first, masks = (repeats[row].values.field(k).to_numpy() for k in (0, 1))
+                        which, bit = np.nonzero(masks[:, None] >> np.arange(length) & 1)
+                        where = first[which] + bit
                         np.add.at(cover, where, 1)
                         np.add.at(cover, where + length, -1)
                     gone = np.cumsum(cover)[:-1] > 0
@@ -120,19 +219,28 @@ def _strip(length: int):
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, short: int = SHORT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_text (words joined by a space), removed (word places: start, end, start, end ...)."""
+    if not 0 < short <= length < short + 63:
+        raise ValueError("length must be at least short and below short + 63")
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("th"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    prefixes = rows.mapInArrow(_prefixes(length, short), f"prefix long, id {kind}, th int, at int")
-    siblings = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1").select("prefix")
-    shared = prefixes.join(siblings, "prefix").groupBy("id", "th").agg(F.collect_set("at").alias("ats"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    candidates = rows.join(shared, same(rows, shared)).select(rows["id"], rows["th"], "text", "ats")
-    suffixes = candidates.mapInArrow(_suffixes(length, short), f"prefix long, node long, id {kind}, th int, at int")
-    deep = suffixes.groupBy("prefix", "node").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", "node")
-    repeats = suffixes.join(deep, ["prefix", "node"]).groupBy("id", "th").agg(F.collect_set("at").alias("repeats"))
+    prefixes = rows.mapInArrow(_prefixes(length, short), f"prefix long, id {kind}, th int, at int")
+    siblings = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    places = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("at"))))
+    shared = prefixes.join(siblings, "prefix").groupBy("id", "th").agg(places(F.col("n") <= group).alias("small"), places(F.col("n") > group).alias("large"))
+    candidates = rows.join(shared, same(rows, shared)).select(rows["id"], rows["th"], "text", "small", "large")
+    # Small groups: sorted by prefix, each whole in one task, one group after the other.
+    occurrences = candidates.mapInArrow(_occurrences(length, short), f"prefix long, id {kind}, th int, start int, n int, words binary")
+    dealt = occurrences.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "prefix").sortWithinPartitions("prefix")
+    below = dealt.mapInArrow(_subtrees(length), f"id {kind}, th int, at int, mask long")
+    # Large groups: the full path is the prefix.
+    suffixes = candidates.filter(F.size("large") > 0).mapInArrow(_suffixes(length, short), f"prefix long, node long, id {kind}, th int, at int")
+    nodes = suffixes.groupBy("prefix", "node").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", "node")
+    hot = suffixes.join(nodes, ["prefix", "node"]).select("id", "th", "at", F.lit(1).cast("long").alias("mask"))
+    repeats = below.unionByName(hot).groupBy("id", "th").agg(F.collect_set(F.struct("at", "mask")).alias("repeats"))
     marked = rows.join(repeats, same(rows, repeats), "left").select(rows["id"], "text", "repeats")
     return marked.mapInArrow(_strip(length), f"id {kind}, n_words long, n_removed long, kept_text string, removed array<int>")

@@ -14,7 +14,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
+_BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
 SLICE_BYTES = 2 << 20
 
 
@@ -88,7 +88,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     k = min(k, n)
     s = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
-        s = s * _WORD_BASE + words[j : n - k + 1 + j]
+        s = s * WORD_BASE + words[j : n - k + 1 + j]
     return np.unique(mix(s))
 
 
@@ -99,5 +99,5 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     s = np.full(n, k, np.uint64)
     for j in range(k):
-        s = s * _WORD_BASE + words[j : j + n]
+        s = s * WORD_BASE + words[j : j + n]
     return mix(s)
