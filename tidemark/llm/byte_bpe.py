@@ -21,6 +21,7 @@ import sys
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,7 +33,7 @@ from tidemark.llm.runtime import ship
 from tidemark.llm.words import slices
 
 NEVER = 1 << 60
-CACHED = 120_000  # entries of a generation of a cache; two generations are held
+CACHED = 200_000  # entries of a generation of a cache; two generations are held
 
 
 class Vocabulary:
@@ -46,7 +47,12 @@ class Vocabulary:
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
         self.borders: dict[int, bool] = {}
-        self.makeable = {k: v for k, v in ranks.items() if self.made(v)}
+        finder = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if self.made(rank):
+                finder.add_word(token.decode("latin-1"), (rank, len(token)))
+        finder.make_automaton()
+        self.matches = finder.iter  # all tokens inside a string, by their ends
 
     @classmethod
     def parse(cls, data: bytes) -> Vocabulary:
@@ -112,20 +118,21 @@ class PrefixTable:
         self.append(data)
 
     def _extend(self, until: int) -> None:
-        v, data, last = self.vocabulary, self.data, self.last
-        token_of, longest, known = v.makeable.get, v.longest, v.borders
-        for i in range(len(last), until + 1):
-            for k in range(i - longest if i > longest else 0, i):
-                token = token_of(data[k:i])
-                if token is not None:
-                    if not k:
-                        break
+        v, last = self.vocabulary, self.last
+        done = len(last) - 1
+        last += [-1] * (until - done)
+        base = max(0, done + 1 - v.longest)  # tokens that end after `done` start here at the earliest
+        known = v.borders
+        for end, (token, size) in v.matches(self.data[base:until].decode("latin-1")):
+            i = base + end + 1
+            if last[i] < 0 and i > done:
+                if k := i - size:
                     apart = known.get(last[k] << 32 | token)
-                    if v.border(last[k], token) if apart is None else apart:
-                        break
-            else:
-                raise ValueError(f"no token ends at byte {i}; the vocabulary lacks single bytes")
-            last.append(token)
+                    if not (v.border(last[k], token) if apart is None else apart):
+                        continue
+                last[i] = token
+        if until > done and -1 in last[done + 1 :]:
+            raise ValueError("some byte ends no token; the vocabulary lacks single bytes")
 
     def append(self, data: bytes) -> None:
         self.data += data
