@@ -5,16 +5,18 @@ signature has COORDS coordinates. Documents with one and the same set are one cl
 representatives are posted under each (coordinate, value) pair; pairs that only one representative has are dropped, as
 nothing can collide there. Two sets at the threshold share at least MATCHES coordinates (at similarity 0.8 and 14 of 32
 this fails for one pair in a million or so), so it is enough to look at each document's prefix: its pairs ordered by
-frequency, rarest first, without the last MATCHES - 1. Lists of collisions are counted by merging the sorted pair arrays;
-what stays at MATCHES or above is confirmed on the full sets.
+frequency, rarest first, without the last MATCHES - 1. Posts carry the signature in brief, four bits a coordinate, so that
+collisions are counted where two posts of a list meet, and pairs below MATCHES, or of sizes that can't reach the
+threshold, go no further. What stays is confirmed on the full sets, which are made anew from the texts.
 
-No list is expanded into all its pairs. In each round, one leader a list is compared with the members that are not yet
-in its component; components then merge. Lists within one component need no further look (that is the skip); after the
-rounds, only members of different components that still share a list are compared, each pair once. So every candidate
-pair is either compared or already known to be connected, and components are exact over the candidates.
+No list is expanded into all its pairs. In each round one leader a list is compared with the members outside its
+component; components then merge. Lists within one component are skipped; after the rounds, only members of different
+components that still share a list are compared. So every pair of posts in a list is either compared or known to be
+connected, and components are exact over the candidates.
 
 Null or blank text: empty set, linked with nothing. Rows that repeat an identifier are documents of their own; a class or
-component that they name is one. A null identifier links with nothing. Ties go to the smaller identifier. An empty table gives an empty result. Other columns are not read.
+component that they name is one. A null identifier links with nothing. Ties go to the smaller identifier. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from tidemark.llm import words
 from tidemark.llm.components import components
 from tidemark.llm.runtime import cut, ship
 
-COORDS, MATCHES, ROUNDS = 32, 14, 3
+COORDS, MATCHES, ROUNDS = 32, 14, 2
+FEW = 1_000_000  # identifiers that may be broadcast: 40 MB
 _seeds = words.mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLY, ADD = _seeds[:COORDS] | np.uint64(1), _seeds[COORDS:]
 
@@ -58,89 +61,127 @@ def signature(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def brief(sig: np.ndarray) -> tuple[int, int]:
+    """Four bits of each coordinate, in two numbers."""
+    bits = (words.mix(sig) >> np.uint64(60)) << (np.arange(COORDS, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
+    return tuple(int(x) for x in np.bitwise_or.reduce(bits.reshape(2, 16), axis=1).view(np.int64))
+
+
 def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text_hash, n (set size), d1, d2 (digest of the set), signature."""
+    """id, text_hash, n (set size), d1, d2 (digest of the set), s1, s2 (the signature in brief), signature."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, briefs = [], [], [], []
             for s in _sets(batch.column("text"), k):
                 sizes.append(len(s))
                 digests.append(_digest(s))
-                sigs.append(signature(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                sig = signature(s) if len(s) else np.zeros(0, np.uint64)
+                sigs.append(sig.view(np.int64))
+                briefs.append(brief(sig) if len(s) else (0, 0))
             ends = pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32())
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sigs]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(ends, flat)],
-                ["id", "text_hash", "n", "d1", "d2", "signature"],
+                [batch.column("id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in pairs], pa.int64()) for pairs in (digests, briefs) for i in (0, 1)), pa.ListArray.from_arrays(ends, flat)],
+                ["id", "text_hash", "n", "d1", "d2", "s1", "s2", "signature"],
             )
 
-    return source.mapInArrow(run, "id long, text_hash long, n long, d1 long, d2 long, signature array<long>")
-
+    return source.mapInArrow(run, "id long, text_hash long, n long, d1 long, d2 long, s1 long, s2 long, signature array<long>")
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) for the wanted (rep, d1, d2)."""
-    found = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep", "d1", "d2"), "rep")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(_sets(batch.column("text"), k))
-            ok = pa.array([_digest(s) == d for s, d in zip(sets, zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True), strict=True)], pa.bool_())
-            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(ends, flat)], ["rep", "shingles"]).filter(ok)
 
-    return found.mapInArrow(run, "rep long, shingles array<long>")
+def collisions(a: Column, b: Column) -> Column:
+    """In how many of 16 places do two briefs agree? (At least as often as the coordinates do.)"""
+    x = a.bitwiseXOR(b)
+    y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    y = y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    return 16 - F.bit_count(y)
 
 
-def _close(percent: int, a: str, b: str) -> Column:
-    """Can sets of these sizes reach the threshold?"""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def near(percent: int, matches: int, a: str, b: str) -> Column:
+    """Can these two sets reach the threshold, by their sizes and collisions?"""
+    size = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
+    return size & (collisions(F.col(f"{a}.s1"), F.col(f"{b}.s1")) + collisions(F.col(f"{a}.s2"), F.col(f"{b}.s2")) >= matches)
 
 
-def confirm(pairs: DataFrame, posts: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Of pairs (a, b), those with enough collisions and, on their full sets, the similarity."""
-    one = posts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    two = posts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    near = pairs.join(two, "b").join(one, "a").filter(_close(percent, "na", "nb") & (F.size(F.array_intersect("ka", "kb")) >= matches)).select("a", "b")
-    full = near.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return full.filter(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
-
-
-def _posts(reps: DataFrame, matches: int) -> DataFrame:
-    """rep, n, keys (hashes of its pairs that others have too) and keys_by_count (rarest first), where there are enough."""
-    every = reps.select("rep", "n", F.posexplode("signature").alias("coordinate", "value")).select("rep", "n", F.xxhash64("coordinate", "value").alias("key"))
+def prefix_lists(reps: DataFrame, matches: int) -> DataFrame:
+    """(key, rep, n, s1, s2): the prefix of each representative with enough pairs that others have too."""
+    every = reps.select("rep", F.posexplode("signature").alias("coordinate", "value")).select("rep", F.xxhash64("coordinate", "value").alias("key"))
     counts = every.groupBy("key").agg(F.count("*").alias("posted")).filter("posted > 1")
-    ranked = every.join(counts, "key").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_set(F.struct("posted", "key"))).alias("k")).filter(F.size("k") >= matches)
-    keys = F.transform("k", lambda x: x["key"])
-    return cut(ranked.select("rep", "n", F.array_sort(keys).alias("keys"), keys.alias("keys_by_count")), "posts")
-
+    ranked = every.join(counts, "key").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("posted", "key"))).alias("k")).filter(F.size("k") >= matches)
+    prefix = F.explode(F.slice("k", F.lit(1), F.size("k") - (matches - 1))).alias("p")
+    return ranked.join(reps.select("rep", "n", "s1", "s2"), "rep").select("rep", "n", "s1", "s2", prefix).select(F.col("p.key").alias("key"), "rep", "n", "s1", "s2")
 
-def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rep, component) for lists whose members are in more than one component."""
-    own = lists.join(labels, "rep")
-    open_keys = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    return own.join(open_keys, "key").select("key", "rep", "component")
 
+def _open_lists(lists: DataFrame, labels: DataFrame | None, r: int) -> DataFrame:
+    """(key, m, l) for members m and leader l of lists with members in more than one component."""
+    own = lists.withColumn("component", F.col("rep")) if labels is None else lists.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = own.select("key", F.struct(*([F.xxhash64("rep", F.lit(r)).alias("turn")] if r else []), "rep", "n", "s1", "s2", "component").alias("m"))
+    heads = own.groupBy("key").agg(F.min("m").alias("l"), F.min("m.component").alias("low"), F.max("m.component").alias("high")).filter("low < high").select("key", "l")
+    return own.join(heads, "key")
 
-def _leaders(members: DataFrame, r: int) -> DataFrame:
-    """(a, b): the leader of each list, another one each round, with the members outside its component."""
-    members = cut(members, "members")
-    order = F.struct("rep", "component") if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), "rep", "component")
-    leader = members.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.component").alias("ca"))
-    return members.join(leader, "key").filter("component <> ca").select("a", F.col("rep").alias("b")).distinct()
 
+def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (a, b), those whose full sets reach the threshold. A table of pairs (a, b) as it comes from disk."""
+    pairs = cut(pairs, "pairs")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "d1", "d2"), "rep"), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    texts = cut(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep"), "texts")
+    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("rep", "d1", "d2", "text")])
+    both = pairs.join(side("b"), F.col("b") == F.col("rep_b")).join(side("a"), F.col("a") == F.col("rep_a")).select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("d1", "d2", "text")])
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame | None:
-    """labels after the links; None if there are none."""
-    by = links.join(labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-    between = cut(by.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
-    if between.isEmpty():
-        return None
-    joined = components(between)
-    return cut(labels.join(joined, labels["component"] == joined["node"], "left").select("rep", F.coalesce(joined["component"], labels["component"]).alias("component")), "labels")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _SetCache(k)
+        for batch in batches:
+            a, b = (zip(*(batch.column(f"{c}_{x}") for c in ("d1", "d2", "text")), strict=True) for x in "ab")
+            found = []
+            for x, y in zip(map(sets.get, a), map(sets.get, b), strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if x is not None and y is not None else 0
+                found.append(shared > 0 and shared * 100 >= (len(x) + len(y) - shared) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+class _SetCache:
+    """Sets by digest, for texts that come in many pairs; at most MOST shingles are held."""
+
+    MOST = 4_000_000
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size = k, {}, 0
+
+    def get(self, row) -> np.ndarray | None:
+        """The set with the digest asked for; None if the text is another document's (identifiers may repeat)."""
+        key = (row[0].as_py(), row[1].as_py())
+        s = self.held.get(key)
+        if s is None:
+            s = next(_sets(pa.array([row[2].as_py()], pa.string()), self.k))
+            if _digest(s) != key:
+                return None
+            if self.size > self.MOST:
+                self.held, self.size = {}, 0
+            self.held[key] = s
+            self.size += len(s)
+        return s
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(rep, component) of representatives that are linked with others, after more links."""
+    if labels is not None:
+        for x in "ab":
+            known = labels.select(F.col("rep").alias(x), F.col("component").alias("c"))
+            links = links.join(known, x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    links = cut(links.select("a", "b").distinct(), "links")
+    if links.isEmpty():
+        return labels
+    joined = components(links)
+    if labels is None:
+        return cut(joined.select(F.col("node").alias("rep"), "component"), "labels")
+    moved = labels.join(joined, labels["component"] == joined["node"], "left").select("rep", F.coalesce(joined["component"], labels["component"]).alias("component"))
+    new = joined.join(labels, joined["node"] == labels["rep"], "left_anti").select(F.col("node").alias("rep"), "component")
+    return cut(moved.unionByName(new), "labels")
 
 
 def near_duplicates(
@@ -156,23 +197,19 @@ def near_duplicates(
     """One row per row of docs: id (long), text_hash, n (set size), component (smallest id reachable), kept (id = component)."""
     ship(spark)
     feats = cut(features(docs, k, id_col, text_col), "minhash")
-    classes = feats.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "signature")).alias("s"))
-    reps = cut(classes.select("d1", "d2", F.col("s.id").alias("rep"), F.col("s.n").alias("n"), F.col("s.signature").alias("signature")), "classes")
-    posts = _posts(reps, matches)
-    pairs = posts.select("rep", F.explode(F.slice("keys_by_count", 1, F.size("keys_by_count") - matches + 1)).alias("key"))
-    lists = cut(pairs, "lists")
-    sets = cut(full_sets(docs, posts.join(reps.select("rep", "d1", "d2"), "rep"), k, id_col, text_col), "sets")
-    labels = cut(posts.select("rep", F.col("rep").alias("component")).distinct(), "labels")
+    classes = feats.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "s1", "s2", "signature")).alias("s"))
+    reps = cut(classes.select("d1", "d2", F.col("s.id").alias("rep"), "s.n", "s.s1", "s.s2", "s.signature"), "classes")
+    lists = cut(prefix_lists(reps, matches), "lists")
+    sure = lambda pairs: confirm(docs, reps, pairs.distinct(), k, percent, id_col, text_col)
+    labels = None
     for r in range(rounds):
-        links = confirm(_leaders(_mixed(lists, labels), r), posts, sets, percent, matches)
-        labels = _merge(labels, links) or labels
-    rest = _mixed(lists, labels).join(posts.select("rep", "n", "keys", "keys_by_count"), "rep")
-    one = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("keys").alias("ka"), F.slice("keys_by_count", 1, F.size("keys_by_count") - matches + 1).alias("pa"))
-    two = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("keys").alias("kb"), F.slice("keys_by_count", 1, F.size("keys_by_count") - matches + 1).alias("pb"))
-    # Each pair once: at the first list of a's prefix that b's prefix has too.
-    once = (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & _close(percent, "na", "nb") & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == one["key"]) & (F.size(F.array_intersect("ka", "kb")) >= matches)
-    labels = _merge(labels, confirm(one.join(two, once).select("a", "b"), posts, sets, percent, matches)) or labels
-    member = feats.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(labels, "rep", "left")
+        led = _open_lists(lists, labels, r).filter((F.col("m.component") != F.col("l.component")) & near(percent, matches, "m", "l"))
+        labels = _merged(labels, sure(led.select(F.col("l.rep").alias("a"), F.col("m.rep").alias("b"))))
+    rest = _open_lists(lists, labels, 0).drop("l")
+    pair = (F.col("x.m.component") < F.col("y.m.component")) & (F.col("x.key") == F.col("y.key")) & near(percent, matches, "x.m", "y.m")
+    labels = _merged(labels, sure(rest.alias("x").join(rest.alias("y"), pair).select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b"))))
+    member = feats.drop("signature").join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+    member = member.join(labels, "rep", "left") if labels is not None else member.withColumn("component", F.col("rep"))
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
     return member.select("id", "text_hash", "n", component.alias("component")).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
