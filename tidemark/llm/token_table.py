@@ -21,12 +21,12 @@ Null text counts as empty: the end id alone. An empty table gives no shards and
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import sys
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from tidemark.llm.runtime import fresh_path, on_disk, ship
 
 MAGIC, FOOTER = b"TMSST001", struct.Struct("<QQQQQQ8s")
 RESTART, BLOCK_BYTES, SHARD_TOKENS, BITS, PROBES = 16, 256 << 10, 16 << 20, 10, 7
-CACHED = 150_000
+CACHED = 250_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -88,8 +88,8 @@ class Writer:
         self.index, self.keys, self.tokens, self.records = [], [], 0, 0
         self.pack = zstandard.ZstdCompressor(level=1).compress
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
-        value = ids.astype("<u4").tobytes()
+    def add(self, key: bytes, value: bytes) -> None:
+        """value: ids as little-endian unsigned 32-bit numbers."""
         shared = 0
         if self.in_block % RESTART:
             while shared < len(key) and key[shared] == self.last[shared]:
@@ -99,7 +99,7 @@ class Writer:
         self.block += (_varint(shared), _varint(len(key) - shared), _varint(len(value)), key[shared:], value)
         self.filled += len(value) + 8
         self.in_block += 1
-        self.block_tokens += len(ids)
+        self.block_tokens += len(value) // 4
         self.last = key
         if not self.keys or self.keys[-1] != key:
             self.keys.append(key)
@@ -192,34 +192,69 @@ class Shard:
 
 
 class WordCache:
-    """ids of what stands between spaces and line feeds; the tokenizer drops white space, so a text's ids are those of its parts in a row."""
+    """The ids, as bytes, of what stands between spaces and line feeds.
+
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its parts in a row. A part of
+    Latin-1 letters and a tail of TAIL is two pre-tokens, and its letters are put in lower case by the tokenizer anyway; so
+    parts are put together from stems and tails, and only stems not seen before go through the library.
+    """
+
+    TAIL = ".,;:!?"
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        if len(self.known) >= CACHED:
-            self.known, self.old = {}, self.known
-        new = []
-        for p in parts:
-            if p not in self.known:
-                if (v := self.old.get(p)) is not None:
-                    self.known[p] = v
-                else:
-                    new.append(p)
-        for i in range(0, len(new), 4096):
-            for p, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                self.known[p] = tuple(e.ids)
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
+
+    def _split(self, part: str) -> tuple[str, str]:
+        stem = part.rstrip(self.TAIL)
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+            return stem.lower(), part[len(stem) :]
+        return part, ""
+
+    def _learn_stems(self, wanted: set[str]) -> None:
+        new = list(wanted.difference(self.stems))
+        if len(self.stems) + len(new) > CACHED:
+            self.old_stems, self.stems = self.stems, {}
+            new = list(wanted)
+        unknown = []
+        for s in new:
+            if (v := self.old_stems.get(s)) is not None:
+                self.stems[s] = v
+            else:
+                unknown.append(s)
+        for i in range(0, len(unknown), 4096):
+            some = unknown[i : i + 4096]
+            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.stems[s] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, parts: set[str]) -> None:
+        new = parts.difference(self.parts)
+        if len(self.parts) + len(new) > CACHED:
+            self.old_parts, self.parts = self.parts, {}
+            new = parts
+        unknown = []
+        for p in new:
+            if (v := self.old_parts.get(p)) is not None:
+                self.parts[p] = v
+            else:
+                unknown.append((p, *self._split(p)))
+        self._learn_stems({x for _, stem, tail in unknown for x in (stem, tail)})
+        for p, stem, tail in unknown:
+            self.parts[p] = self.stems[stem] + self.stems[tail]
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, s)), (end_id,)), np.uint32) for s in split]
+        self._learn(set().union(*split))
+        get, end = self.parts.__getitem__, struct.pack("<I", end_id)
+        return [b"".join(map(get, s)) + end for s in split]
 
 
 def word_cache(tokenizer_json: str) -> WordCache:
@@ -258,11 +293,11 @@ def write_shards(spark: SparkSession, docs: DataFrame, out: str, tokenizer_path:
             for i in range(0, batch.num_rows, 512):
                 chunk = batch.slice(i, 512)
                 keys = [key_of(x) for x in chunk.column("id").to_pylist()]
-                for key, ids in zip(keys, words.encode(chunk.column("text").to_pylist(), end_id), strict=True):
+                for key, value in zip(keys, words.encode(chunk.column("text").to_pylist(), end_id), strict=True):
                     if writer is None:
                         name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}"
                         writer = Writer(fs.open_output_stream(f"{base}/{name}.tmp"))
-                    writer.add(key, ids)
+                    writer.add(key, value)
                     if writer.tokens >= SHARD_TOKENS:
                         yield finish()
                         writer, seq = None, seq + 1
