@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.runtime import ship
+from tidemark.llm.runtime import named, ship
 from tidemark.llm.words import slices
 
 NEVER = 1 << 60
@@ -233,8 +233,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: s
     ship(spark)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    row = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("struct<none:boolean>")
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), row.alias("row"))
+    row = F.struct(*map(named, carry)) if carry else F.lit(None).cast("struct<none:boolean>")
+    source = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks.value, pattern)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
-_own_dir: str | None = None
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,41 +32,74 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def named(column: str) -> Column:
+    """The top-level column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent, as in tests."""
-    global _own_dir
+    """The folder of spark.checkpoint.dir, which the driver and all executors see."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if _own_dir is None:
-            _own_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
-        found = _own_dir
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
+@cache
+def _own_dir() -> str:
+    """One process runs everything: its own folder is shared, and goes when it ends."""
+    path = tempfile.mkdtemp(prefix="tidemark-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    """Write df once to the shared folder and read it back: lineage ends there and lost executors cost nothing. The files stay as long as something may
+    read them: until remove_intermediates or the end of the session."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row, which tell every row apart; a table that isn't read from Parquet files is written once first."""
-    if not _from_parquet(docs):
-        docs = cut(docs, "located")
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete all that operators of this application have set aside; results that were not written yet can't be read any more."""
+    drop_path(spark, f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """(row, file, at): each row of docs as a struct, and the numbers that tell it apart; a table that isn't read from Parquet files is written once first."""
+    row, docs, place = _in_place(docs)
+    return docs.select(row, F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+
+def in_files(docs: DataFrame) -> DataFrame:
+    """(row, part, piece, at): the number of a row's part and of the part's file, as Spark names them, and its place in the file."""
+    row, docs, place = _in_place(docs)
+    part, piece = (F.regexp_extract(place["file_name"], rf"{sign}-?(\d+)", 1).cast("int") for sign in ("^part", "-c"))
+    return docs.select(row, F.coalesce(part, F.lit(0)).alias("part"), F.coalesce(piece, F.lit(0)).alias("piece"), place["row_index"].alias("at"))
+
+
+def _in_place(docs: DataFrame) -> tuple[Column, DataFrame, Column]:
+    row, place = F.struct(*map(named, docs.columns)).alias("row"), _place(docs)
+    if place is None:
+        docs = cut(docs.select(row), "located")
+        row, place = F.col("row"), _place(docs)
+    return row, docs, place
 
 
-def _from_parquet(docs: DataFrame) -> bool:
+def _place(docs: DataFrame) -> Column | None:
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018  resolved now
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["file_path"], place["row_index"]).schema  # noqa: B018  resolved now
     except AnalysisException:
-        return False
-    return "_metadata" not in docs.columns
+        return None
+    return place
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
