@@ -24,7 +24,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.coalesce("first_start", F.lit(-1)).alias("first_start"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +96,21 @@ SQL = {
             SELECT here AS level FROM levels WHERE here * weight <= cap ORDER BY cap / weight, rank LIMIT 1
         ), goals AS (
             SELECT source, CAST(n AS BIGINT) AS source_size, coalesce(least((SELECT level FROM chosen) * weight, cap), cap) AS target FROM weighed
+        ), sloped AS (
+            SELECT w.source, g.source_size, g.target, CAST(CASE w.rank % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0 ELSE -0.5 END AS DOUBLE) AS slope FROM weighed w JOIN goals g ON w.source IS NOT DISTINCT FROM g.source
         ), laid AS (
-            SELECT s.doc_id, s.size, g.source_size, g.target, coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CAST(s.size AS DOUBLE) / 2 AS mid
-            FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+            SELECT s.doc_id, s.size, s.k, g.source_size, g.target, g.slope, coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CAST(s.size AS DOUBLE) / 2 AS mid
+            FROM sized s JOIN sloped g ON s.source IS NOT DISTINCT FROM g.source
+        ), plays AS (
+            SELECT *, (mid + e * source_size) / target AS u FROM laid, range(2) t(e) WHERE size > 0 AND mid + e * source_size < target
+        ), placed AS (
+            SELECT *, CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END AS position FROM plays
+        ), started AS (
+            SELECT doc_id, size, coalesce(sum(size) OVER (ORDER BY position, k, doc_id, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed
+        ), taken AS (
+            SELECT doc_id, sum(size) AS taken, min(start) AS first_start FROM started GROUP BY doc_id
         )
-        SELECT doc_id, size, source_size, target, CAST(size * (CASE WHEN mid < target THEN 1 ELSE 0 END + CASE WHEN mid + source_size < target THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM laid""",
+        SELECT doc_id, l.size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(first_start, -1) AS BIGINT) AS first_start FROM laid l LEFT JOIN taken USING (doc_id)""",
     "op2_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
