@@ -115,11 +115,46 @@ def test_exact_dedup(spark, docs, empty):
 
 
 def test_equal_digests_of_different_texts_are_told_apart(spark):
-    rows = spark.createDataFrame([(1, "a", "d", 0, 0), (2, "b", "d", 0, 1), (3, "b", "d", 0, 2), (4, "c", "e", 0, 3)], "id long, text string, digest string, file long, row long")
+    rows = spark.createDataFrame([(1, "a", "d", 0, 0), (2, "b", "d", 0, 1), (3, "b", "d", 0, 2), (4, "c", "e", 0, 3)], "id long, text string, digest string, file long, at long")
     got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup._decide(spark, rows).collect()}
     assert got == {1: (1, 1, True), 2: (3, 2, False), 3: (3, 2, True), 4: (4, 1, True)}
 
 
+@pytest.mark.parametrize("slices", [1, 4])
+def test_state_outlasts_slices_and_calls(spark, tmp_path, slices):
+    """Copies in later slices and later tables meet the state of those before them."""
+    one = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "doc_id long, text string")
+    two = spark.createDataFrame([(100, "text 3"), (101, "new"), (102, "new")], "doc_id long, text string")
+    home = f"file://{tmp_path}/home"
+    first = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, one, home=home, slices=slices).collect()}
+    assert first == {i: (15 + i % 5, 4, i >= 15) for i in range(20)}
+    batches = len(list((tmp_path / "home" / "groups").glob("batch=*")))
+    assert batches >= slices
+    second = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, two, home=home, slices=slices).collect()}
+    assert second == {100: (100, 5, True), 101: (102, 2, False), 102: (102, 2, True)}
+    assert len(list((tmp_path / "home" / "groups").glob("batch=*"))) > batches
+
+
+ODD = "doc_id long, text string, lang string, source string, `__file` string, `__row` int, `_metadata` string, `a.b` int, row string, file int, at int, `we``ird` int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "b", "x", i, "m", i, "r", 1, 2, 3) for i, t in enumerate([None, "", "one two", "one two", "a b c d e f", "new"])]
+    return spark.createDataFrame(rows, ODD)
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_columns_of_any_name_pass_through(spark, odd, tmp_path, written):
+    if written:
+        odd.write.parquet(f"{tmp_path}/odd")
+        odd = spark.read.parquet(f"{tmp_path}/odd")
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    for out in (exact_dedup.drop_copies(spark, odd), mixing.training_order(odd), near_dedup.keep_one(spark, odd), language_id.drop_unknown(spark, odd)):
+        assert out.columns == odd.columns and out.count() and not set(rows(out)) - set(rows(odd))
+    assert byte_bpe.round_trip(spark, odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, carry=odd.columns).select("row.*").columns == odd.columns
+
+
 def test_url_rules(spark):
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1?x#y", "https://m.example.com/en/", "https://example.com/EN/", "http://a.net/es/", "http://net/fr/x", "http://anet/fr/", "x://example.com?/en/", "http://b.com", "http://É.com/\n/en/", "a://b://c.com/", "http://example.com/en/" + "z" * 5000]
@@ -217,11 +252,54 @@ def test_language(spark, empty):
     assert kept.columns == odd.columns and kept.count() == docs.count() + 1
 
 
+def parsed(model, text, block=language_id.BLOCK):
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    s, offs = model.alphabet.symbols(points, np.array([0, len(points)]))
+    return s.tolist(), [round(c / b) for c, b in zip(model.costs(s, offs, block)[:, 0], model.bits, strict=True)]
+
+
 def test_cross_parsing_counts_phrases():
-    m = language_id.Model({"xx": "abcabd", "yy": "zzz"})
-    s, offs = m.symbols(np.frombuffer("abcabdab".encode("utf-32-le"), np.uint32), np.array([0, 8]))
-    cost = m.costs(s, offs)
-    assert cost[0, 0] == 2 * m.bits[0] and cost[1, 0] == 9 * m.bits[1]  # abcabd|ab; every letter unseen ends a phrase
+    m = language_id.Model({"xx": ["abcabd"], "yy": ["zzz"]})
+    assert parsed(m, "abcabdab")[1] == [2, 16]  # abcabd|ab; a letter unseen is a phrase and spelt out
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_cross_parsing_equals_naive_longest_matches(block):
+    """Blocks make no difference: the parse is the one from the text's first symbol."""
+    r = random.Random(block)
+    sample = {lang: ["".join(r.choice(letters) for _ in range(300)) for _ in range(3)] for lang, letters in (("aa", "abcd "), ("bb", "abé "), ("cc", "xyz"))}
+    m = language_id.Model(sample)
+    hay = ["".join(map(chr, parsed(m, "\n".join(sample[lang]))[0])) for lang in sorted(sample)]
+    for n in (0, 1, 5, 50, 700):
+        text = "".join(r.choice("abcdé xq") for _ in range(n // 2)) + "".join(sample["aa"])[: n // 2]
+        symbols, got = parsed(m, text, block)
+        text, want = "".join(map(chr, symbols)), []
+        for h in hay:
+            i = count = 0
+            while i < len(text):
+                size = 0
+                while i + size < len(text) and text[i : i + size + 1] in h:
+                    size += 1
+                i, count = i + max(1, size), count + (1 if size else 2)
+            want.append(count)
+        assert got == want
+
+
+def test_large_alphabets_and_late_letters(spark):
+    r = random.Random(9)
+    scripts = {"aa": [chr(0x4E00 + i) for i in range(1500)], "bb": [chr(0x20000 + i) for i in range(1500)], "cc": [chr(0x30000 + i) for i in range(300)]}
+    rows = [(i, "".join(r.choice(scripts[lang]) for _ in range(80)), lang) for i, lang in enumerate(r.choice("abc") * 2 for _ in range(600))]
+    rows.append((1000, " " + "".join(r.choice(scripts["aa"]) for _ in range(60_000)), None))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
+    got = language_id.identify(spark, docs).collect()
+    want = {i: lang or "aa" for i, _, lang in rows}
+    assert len(got) == 602 and all(x.lang_pred == want[x.id] for x in got)
+    with pytest.raises(ValueError, match="values"):
+        language_id.MOST_LANGS = 1
+        try:
+            language_id.identify(spark, docs)
+        finally:
+            language_id.MOST_LANGS = 1_000
 
 
 def test_quality(spark, docs, empty):
@@ -283,21 +361,35 @@ def test_mixing(spark, docs, empty):
     assert len(got) == len(rows)
     taken = Counter()
     for r in got:
-        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and r.taken <= 2 * r.size
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and r.taken == r.epochs * r.size <= 2 * r.size
         taken[r.source] += r.taken
     biggest = max(r.size for r in got)
     assert all(abs(taken[s] - target[s]) <= biggest for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
-    played = mixing.training_order(docs)
-    assert played.columns == docs.columns and played.count() == sum(r.epochs for r in got)
     assert mixing.mix(empty).count() == 0 and mixing.training_order(empty).count() == 0
 
 
+def test_training_order(spark, docs, tmp_path):
+    """Positions ascend, starts are the running sum of sizes, files keep the order, and other slopes give another order but the same shares."""
+    played = mixing.training_order(docs, keep=True).collect()
+    at = [r.position for r in played]
+    assert at == sorted(at) and 0 < at[0] and at[-1] < 1
+    size = lambda r: len(WORD.findall(r.row.text or ""))
+    assert [r.start for r in played] == np.cumsum([0, *map(size, played)])[:-1].tolist()
+    assert Counter(r.row.doc_id for r in played) == Counter({r.id: r.epochs for r in mixing.mix(docs).groupBy("id").agg(F.sum("epochs").alias("epochs")).collect() if r.epochs})
+    mixing.training_order(docs).write.parquet(f"{tmp_path}/order")
+    read = spark.read.parquet(f"{tmp_path}/order").select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    assert [r.doc_id for r in sorted(read, key=lambda r: (r.file_name, r.row_index))] == [r.row.doc_id for r in played]
+    flat = mixing.training_order(docs, keep=True, slopes=(0.0,)).collect()
+    assert Counter(r.row.doc_id for r in flat) == Counter(r.row.doc_id for r in played) and [r.row.doc_id for r in flat] != [r.row.doc_id for r in played]
+
+
 def test_curriculum_positions_invert_the_schedule(spark):
-    for slope in (0.5, 0.0, -0.5):
-        for u in (0.0, 0.3, 1.0):
-            t = spark.range(1).select(mixing.position(F.lit(u), F.lit(slope))).first()[0]
+    for slope in (0.5, 0.0, -0.5, 1.0):
+        for u in (0.0, 0.3, 0.99):
+            t = spark.range(1).select(mixing.position(F.lit(200 * u), F.lit(200.0), F.lit(slope))).first()[0]
             assert (1 - slope) * t + slope * t * t == pytest.approx(u)
+    assert spark.range(1).select(mixing.position(F.lit(200.0), F.lit(200.0), F.lit(0.5))).first()[0] is None
 
 
 @pytest.mark.parametrize("group", [4096, 1])
