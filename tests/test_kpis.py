@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,10 +121,9 @@ def test_sql_views_agree(spark, tables):
 
 def test_numbers(spark):
     assert evidence.numbers_in("In 2026-08, 1,234 of $5.50 and 3.2% (-4)") == ["1,234", "$5.50", "3.2%", "-4"]
-    s = evidence.Supported()
-    s.add_rate(0.017679, "rate")
-    s.add(1234, "count")
-    v = evidence.validate("1.77% and 1,234 and 2.1% in 3 parts", s)
+    known = evidence.vouchers({"a": [{"rate": 0.017679, "events": 1234, "held": True}], "fall_rate": -0.25, "undefined": None})
+    assert evidence.source_of(1.77, known) == "a[0].rate" and evidence.source_of(25.0, known) == evidence.source_of(-0.25, known) == "fall_rate" and evidence.source_of(1.0, known) is None
+    v = evidence.validate("1.77% and 1,234 and 2.1% in 3 parts", known)
     assert v.supported == ("1.77%", "1,234") and v.unsupported == ("2.1%",) and v.ignored == ("3",)
     tokens = evidence.extracted(spark.createDataFrame([(1, "In 2026-08: 12 and 7.5% of 3")], "k int, t string"), "k", "t")
     known = spark.createDataFrame([(12.0,)], "value double")
@@ -141,6 +141,36 @@ def test_themes(spark):
     assert set(summary) == set(taxonomy) and summary["fees"].current_share == 0.5 and summary["fees"].previous_complaints == 0
 
 
+def test_answers_of_a_client_keep_to_the_schema():
+    p = evidence.Packet({"limitations": []})
+    client = lambda answer: type("C", (), {"create": lambda self, **_: answer})()
+    said = evidence.narrate_with(client('{"headline": "h", "sections": {"a": "3 things"}}'), p)
+    assert said.headline == "h" and said.source == "client" and said.validation.ignored == ("3",)
+    for answer in ("no json", "[]", '{"headline": "h"}', '{"headline": 1, "sections": {}}', '{"headline": "h", "sections": {"a": 1}}', '{"headline": "h", "sections": {}, "more": 1}'):
+        with pytest.raises(ValueError, match="answer|text"):
+            evidence.narrate_with(client(answer), p)
+
+
+def test_text_operators_refuse_bad_arguments(spark):
+    rows = spark.createDataFrame([("1", "2026-08", "a fee", "fees", 0.5)], "complaint_id string, month string, narrative string, theme_name string, theme_similarity double")
+    with pytest.raises(ValueError, match="positive"):
+        themes.representatives(rows, 0)
+    with pytest.raises(ValueError, match="positive"):
+        themes.blake2_embedder(0)
+    with pytest.raises(ValueError, match="clusters"):
+        themes.clusters(rows, k=4)
+    with pytest.raises(ValueError, match="0 texts"):
+        themes.clusters(rows, k=2, period="2026-07")
+    with pytest.raises(ValueError, match="vectors for"):
+        themes.assign(rows, {"a": ("x",)}, embedder=lambda texts: np.zeros((len(texts) + 1, 2)))
+
+
+def test_theme_scores_need_no_shuffle(spark):
+    rows = spark.createDataFrame([("1", "a fee and a fee")], "complaint_id string, narrative string")
+    plan = themes.assign(rows, {"fees": ("a fee",), "app": ("the app",)})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_actions_follow_the_rules():
     s = actions.Situation("Dispute rate", 0.21, 0.016, 1000.0, 165.0, 165.0, 0.0015, {"segment_name": "c", "segment_value": "v", "numerator_change": 300.0, "current_numerator": 500.0, "current_denominator": 1000.0, "previous_value": 0.2, "contribution_share_of_positive_change": 0.9, "min_denominator_flag": False}, None, None)
     found = sorted(actions.rules(s, 0.8), key=lambda a: -a.score)

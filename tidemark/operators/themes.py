@@ -58,19 +58,38 @@ def anchors(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return rows.sparkSession.createDataFrame(data, "theme string, place int, anchor string, text string")
 
 
-def similarities(rows: DataFrame, key: str, text: str, taxonomy: Taxonomy, dims: int = DIMS) -> DataFrame:
-    """key, theme, place, similarity to the theme's closest anchor, for texts with terms; zeros included."""
+def with_closest(rows: DataFrame, text: str, taxonomy: Taxonomy, dims: int = DIMS) -> DataFrame:
+    """rows with _theme and _s, the closest theme and its similarity; null for texts without terms. All of it is computed within the row: no shuffle.
+
+    The anchors are a few dozen sentences. Their counts come to the driver and go into the plan as one array, anchor after anchor. A text's dot product
+    with an anchor is the sum of the anchor's counts over the text's terms; its own squared norm is summed over its sorted buckets, run by run.
+    """
     if not taxonomy:
         raise ValueError("a taxonomy needs one theme at least")
     named = anchors(rows, taxonomy)
-    theirs = sparse_vectors(named, "anchor", "text", dims)
-    norms = theirs.groupBy("anchor").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")).cast("double")).alias("anchor_norm"))
-    # An anchor is a sentence and the taxonomy a few dozen of them: its vectors go to every task whole.
-    packed = named.join(theirs.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("w")), "anchor").join(norms, "anchor").agg(F.collect_list(F.struct("theme", "place", "w", "anchor_norm")).alias("anchors"))
-    mine = sparse_vectors(rows, key, text, dims).groupBy(key).agg(F.collect_list(F.struct("bucket", "weight")).alias("v"), F.sqrt(F.sum(F.col("weight") * F.col("weight")).cast("double")).alias("norm"))
-    shared = lambda w: F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at(w, x["bucket"]), F.lit(0)))
-    each = mine.join(F.broadcast(packed)).select(key, F.explode(F.transform("anchors", lambda a: F.struct(a["theme"].alias("theme"), a["place"].alias("place"), (shared(a["w"]).cast("double") / (F.col("norm") * a["anchor_norm"])).alias("s")))).alias("a"))
-    return each.groupBy(key, "a.theme", "a.place").agg(F.max("a.s").alias("similarity"))
+    listed = named.collect()
+    counts = np.zeros((len(listed), dims), np.int64)
+    at = {r.anchor: i for i, r in enumerate(listed)}
+    for r in sparse_vectors(named, "anchor", "text", dims).collect():
+        counts[at[r.anchor], r.bucket] = r.weight
+    norms = np.sqrt((counts * counts).sum(axis=1).astype(float)).tolist()
+    table, used = F.lit(counts.ravel()), F.lit(counts.sum(axis=0))
+
+    def grown(state: Column, bucket: Column) -> Column:
+        n = F.when(state["last"] == bucket, state["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(bucket.alias("last"), n.alias("n"), (state["total"] + 2 * n - 1).alias("total"))
+
+    nothing = F.struct(*[F.lit(x).cast("long").alias(name) for name, x in (("last", -1), ("n", 0), ("total", 0))])
+    squares = F.aggregate(F.array_sort("_v"), nothing, grown, lambda state: state["total"])
+    dot = lambda i: F.aggregate("_known", F.lit(0).cast("long"), lambda total, b: total + F.get(table, (b + i * dims).cast("int")))
+    # (-similarity, place) least: the closest theme, of equals the first.
+    each = [F.struct((-(dot(i).cast("double") / (F.col("_norm") * norms[i]))).alias("n"), F.lit(r.place).alias("place"), F.lit(r.theme).alias("theme")) for i, r in enumerate(listed) if norms[i]]
+    best = F.array_min(F.array(*each)) if each else F.lit(None).cast("struct<n: double, place: int, theme: string>")
+    v = F.transform(terms(F.col(text)), lambda t: md5_bucket(t, dims).cast("long"))
+    made = rows.withColumn("_v", v).withColumn("_known", F.filter("_v", lambda b: F.get(used, b.cast("int")) > 0)).withColumn("_norm", F.sqrt(squares.cast("double")))
+    # As an array of one that is exploded: a filter on the theme isn't pushed below, where everything would be computed again for it.
+    made = made.withColumn("_best", F.explode(F.array(F.when(F.size("_v") > 0, best))))
+    return made.withColumns({"_theme": F.col("_best.theme"), "_s": -F.col("_best.n")}).drop("_v", "_known", "_norm", "_best")
 
 
 def _fallback(taxonomy: Taxonomy) -> str:
@@ -81,9 +100,7 @@ def assign(rows: DataFrame, taxonomy: Taxonomy = TAXONOMY, min_similarity: float
     """rows with theme_name, theme_similarity, embedding_backend. Ties go to the theme listed first; text without signal to the fallback."""
     last = _fallback(taxonomy)
     if embedder is None:
-        # (-similarity, place) least: the closest theme, of equals the first.
-        best = similarities(rows, key, text, taxonomy, dims).groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("n"), "place", "theme")).alias("b")).select(F.col(key).alias("_k"), F.col("b.theme").alias("_theme"), (-F.col("b.n")).alias("_s"))
-        found, backend = rows.join(best, F.col(key) == F.col("_k"), "left").drop("_k"), "hashing_md5"
+        found, backend = with_closest(rows, text, taxonomy, dims), "hashing_md5"
     else:
         found, backend = _with_embedder(rows, taxonomy, embedder, text), getattr(embedder, "name", "injected")
     signal = ~is_blank(found, text) & F.col("_s").isNotNull()
@@ -94,24 +111,29 @@ def assign(rows: DataFrame, taxonomy: Taxonomy = TAXONOMY, min_similarity: float
     return found.select(*rows.columns, name.alias("theme_name"), score.alias("theme_similarity"), F.lit(backend).alias("embedding_backend"))
 
 
+def _vectors(embedder: Embedder, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (zero where there is no signal) and their lengths before."""
+    vectors = np.asarray(embedder(texts), float)
+    if len(vectors) != len(texts):
+        raise ValueError(f"the embedder gave {len(vectors)} vectors for {len(texts)} texts")
+    norms = np.linalg.norm(vectors, axis=1) if len(texts) else np.zeros(0)
+    return vectors / np.where(norms > 0, norms, 1)[:, None] if len(texts) else vectors, norms
+
+
 def _with_embedder(rows: DataFrame, taxonomy: Taxonomy, embedder: Embedder, text: str) -> DataFrame:
-    """Closest themes by any function from texts to vectors, called on Arrow batches."""
+    """Closest themes by any function from texts to vectors, called on Arrow batches; the taxonomy's sentences are embedded once."""
     names = list(taxonomy)
-    sentences = [(i, s) for i, n in enumerate(names) for s in taxonomy[n]]
+    owner = np.array([i for i, n in enumerate(names) for _ in taxonomy[n]])
+    unit = rows.sparkSession.sparkContext.broadcast(_vectors(embedder, [s for n in names for s in taxonomy[n]])[0])
 
     def closest(texts: pd.Series) -> pd.DataFrame:
-        given = texts.fillna("").astype(str).tolist()
-        vectors = np.asarray(embedder([s for _, s in sentences] + given), float)
-        if len(vectors) != len(sentences) + len(given):
-            raise ValueError(f"the embedder gave {len(vectors)} vectors for {len(sentences) + len(given)} texts")
-        norms = np.linalg.norm(vectors, axis=1)
-        unit = vectors / np.where(norms > 0, norms, 1)[:, None]
-        sims = unit[len(sentences) :] @ unit[: len(sentences)].T
-        owner = np.array([i for i, _ in sentences])
+        given, norms = _vectors(embedder, texts.fillna("").astype(str).tolist())
+        if not len(given):
+            return pd.DataFrame({"theme": pd.Series(dtype=str), "s": pd.Series(dtype=float)})
+        sims = given @ unit.value.T
         per_theme = np.column_stack([sims[:, owner == i].max(axis=1) for i in range(len(names))])
         best = per_theme.argmax(axis=1)
-        score = per_theme[np.arange(len(best)), best]
-        return pd.DataFrame({"theme": [names[i] for i in best], "s": np.where(norms[len(sentences) :] > 0, score, np.nan)})
+        return pd.DataFrame({"theme": [names[i] for i in best], "s": np.where(norms > 0, per_theme[np.arange(len(best)), best], np.nan)})
 
     kind = T.StructType([T.StructField("theme", T.StringType()), T.StructField("s", T.DoubleType())])
     return rows.withColumn("_e", F.pandas_udf(closest, kind)(F.col(text))).withColumns({"_theme": F.col("_e.theme"), "_s": F.when(~F.isnan("_e.s"), F.col("_e.s"))}).drop("_e")
@@ -121,6 +143,9 @@ def blake2_embedder(dims: int = DIMS, sizes: Sequence[int] = NGRAMS) -> Embedder
     """Counts of terms hashed by 8 bytes of BLAKE2b, big-endian, modulo dims."""
     import re
 
+    if dims < 1:
+        raise ValueError(f"dims must be positive, not {dims}")
+
     def embed(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
         for row, text in enumerate(texts):
@@ -186,26 +211,39 @@ def by_segment(labelled: DataFrame, current: str, previous: str, fields: Sequenc
 
 def representatives(labelled: DataFrame, n: int = 3, period: str | None = None) -> DataFrame:
     """The n complaints of each theme that are closest to it."""
+    if n < 1:
+        raise ValueError(f"n must be positive, not {n}")
     rows = labelled if period is None else labelled.filter(F.col("month") == period)
     rank = F.row_number().over(W.partitionBy("theme_name").orderBy(F.desc("theme_similarity"), "complaint_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= n).select("theme_name", "rank", "complaint_id", "month", F.col("theme_similarity").alias("similarity"), "issue", *[c for c in ("merchant_category", "channel") if c in rows.columns], "narrative").orderBy("theme_name", "rank")
 
 
-def clusters(labelled: DataFrame, k: int = 8, dims: int = DIMS, seed: int = 0) -> DataFrame:
-    """K-means over normalised hashed vectors: size, dominant theme and most central text of each cluster."""
+def clusters(labelled: DataFrame, k: int = 8, period: str | None = None, dims: int = DIMS, seed: int = 0, starts: int = 10) -> DataFrame:
+    """K-means over normalised hashed vectors: size, dominant theme and most central text of each cluster. Of several starts the one with the least cost
+    counts. There must be as many texts with terms (of the period, if one is given) as clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import HashingTF, Normalizer
-
-    made = labelled.filter(F.size(terms(F.col("narrative"))) > 0).withColumn("terms", terms(F.col("narrative")))
-    made = Normalizer(inputCol="tf", outputCol="features").transform(HashingTF(inputCol="terms", outputCol="tf", numFeatures=dims).transform(made)).cache()
-    model = KMeans(k=k, seed=seed).fit(made)
-    centres = model.clusterCenters()
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.storagelevel import StorageLevel
+
+    if k < 2:
+        raise ValueError(f"k must be 2 at least, not {k}")
+    inside = labelled if period is None else labelled.filter(F.col("month") == period)
+    made = inside.select("complaint_id", "theme_name", "theme_similarity", "narrative", terms(F.col("narrative")).alias("terms")).filter(F.size("terms") > 0)
+    made = Normalizer(inputCol="tf", outputCol="features").transform(HashingTF(inputCol="terms", outputCol="tf", numFeatures=dims).transform(made))
+    made = made.drop("terms", "tf").persist(StorageLevel.MEMORY_AND_DISK)  # k-means reads it again and again
+    try:
+        there = made.count()
+        if there < k:
+            raise ValueError(f"{there} texts can't make {k} clusters")
+        model = min((KMeans(k=k, seed=seed + i).fit(made) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    finally:
+        made.unpersist()
+    centres = np.array(model.clusterCenters())
 
     @F.pandas_udf("double")
     def central(cluster: pd.Series, vectors: pd.Series) -> pd.Series:
-        return pd.Series([float(np.dot(centres[c], v)) for c, v in zip(cluster, vectors, strict=True)])
-
-    from pyspark.ml.functions import vector_to_array
+        return pd.Series(np.einsum("ij,ij->i", centres[cluster.to_numpy()], np.stack(vectors.to_numpy())) if len(cluster) else np.zeros(0))
 
     rows = model.transform(made).withColumn("dot", central("prediction", vector_to_array("features")))
     by_theme = rows.groupBy("prediction", "theme_name").agg(F.count("*").alias("n"))
