@@ -148,6 +148,11 @@ def trend(tables: Tables, name: str, grain: str = "monthly") -> DataFrame:
     return _finished(sums).orderBy("end_month")
 
 
+def selected(trend_table: DataFrame, current: str, previous: str) -> DataFrame:
+    """The trend's rows of two periods, the earlier first."""
+    return trend_table.withColumn("place", F.when(F.col("month") == previous, 0).when(F.col("month") == current, 1)).filter("place is not null").orderBy("place")
+
+
 def comparison(trend_table: DataFrame, name: str, current: str, previous: str) -> DataFrame:
     """Two rows, raw and corrected."""
     at = lambda p, c: F.max(F.when(F.col("month") == p, F.col(c)))

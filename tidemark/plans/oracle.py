@@ -108,7 +108,26 @@ _add("remediation_impact", f"SELECT 'dispute_rate' AS metric_name, month AS peri
 
 for _name, _columns, _n in (("segment_rate_category", "coalesce(nullif(trim(merchant_category), ''), '__missing__') AS merchant_category", 2), ("segment_rate_channel", "channel", 2), ("segment_rate_interaction", "coalesce(nullif(trim(merchant_category), ''), '__missing__') AS merchant_category, channel", 3)):
     _add(_name, f"SELECT month, {_columns}, CAST(sum(is_disputed) AS BIGINT) AS numerator, count(*) AS denominator, CAST(sum(is_disputed) AS DOUBLE) / count(*) AS value FROM flagged WHERE kept AND transaction_type = 'purchase' GROUP BY {', '.join(str(i + 1) for i in range(_n))}")
-_add("sql_parity", f"SELECT unnest([{_list([*('monthly_dispute_rate_raw', 'monthly_dispute_rate_corrected', 'monthly_fraud_claim_rate', 'monthly_payment_failure_rate'), *('segment_merchant_category', 'segment_channel', 'segment_category_channel')])}]) AS check_name, CAST(0 AS BIGINT) AS differences, true AS matches")
+# The views' way: ROW_NUMBER and grouping. The other way: a row stays unless an earlier one has its event. Both are computed, and compared group by group.
+_first = "NOT EXISTS (SELECT 1 FROM transactions e WHERE e.source_transaction_id = t.source_transaction_id AND (e.created_at, e.transaction_id) < (t.created_at, t.transaction_id))"
+_both = [("monthly_dispute_rate_raw", "is_disputed", "purchase", "month", "true", "true"), ("monthly_dispute_rate_corrected", "is_disputed", "purchase", "month", "kept", "first"), ("monthly_fraud_claim_rate", "is_fraud_claim", "purchase", "month", "kept", "first"), ("monthly_payment_failure_rate", "payment_failed", "payment", "month", "kept", "first")]
+_both += [(f"segment_{k}", "is_disputed", "purchase", f"month, {c}", "kept", "first") for k, c in (("merchant_category", "merchant_category"), ("channel", "channel"), ("category_channel", "merchant_category, channel"))]
+
+
+def _compared(check: str, flag: str, kind: str, keys: str, kept: str, first: str) -> str:
+    label = "* REPLACE (CASE WHEN trim(coalesce(merchant_category, '')) = '' THEN '__missing__' ELSE merchant_category END AS merchant_category)"
+    side = lambda x, source, where: f"(SELECT {keys}, CAST(sum({flag}) AS DOUBLE) AS {x}n, CAST(count(*) AS DOUBLE) AS {x}d FROM (SELECT {label} FROM {source}) WHERE transaction_type = '{kind}' AND {where} GROUP BY ALL)"
+    off = "count(*) FILTER (an IS DISTINCT FROM bn OR ad IS DISTINCT FROM bd OR abs(an / ad - bn / bd) > 1e-9)"
+    return f"SELECT '{check}' AS check_name, count(*) AS compared, {off} AS differences, {off} = 0 AS matches FROM {side('a', 'flagged', kept)} a FULL JOIN {side('b', 'twice', first)} b USING ({keys})"
+
+
+_add("sql_parity", " UNION ALL ".join(_compared(*x) for x in _both), f"twice AS (SELECT t.*, {_first} AS first FROM transactions t)")
+_add("selected_trend", f"SELECT *, CASE WHEN month = '{Q.NOW}' THEN 1 ELSE 0 END AS place FROM ({_finished('monthly', 'dispute_rate', 'monthly', 'month', 'month', 'month')}) WHERE month IN ('{Q.NOW}', '{Q.BEFORE}')", _DISPUTES)
+_add(
+    "ground_truth_rates",
+    """SELECT month, count(*) AS rows, count(*) FILTER (kept) AS events, count(*) FILTER (merchant_category IS NULL OR trim(merchant_category) = '') AS blank_categories, CAST(sum(is_disputed) AS BIGINT) AS disputed, CAST(sum(is_disputed) FILTER (kept) AS BIGINT) AS disputed_events,
+        CAST(sum(is_disputed) AS DOUBLE) / count(*) AS rate, CAST(sum(is_disputed) FILTER (kept) AS DOUBLE) / nullif(count(*) FILTER (kept), 0) AS rate_without_replays FROM flagged WHERE transaction_type = 'purchase' GROUP BY month""",
+)
 
 _BLANK = "CASE WHEN {0} IS NULL OR trim({0}) = '' THEN '__missing__' ELSE {0} END AS {0}"
 _FIELDS = ("merchant_category", "channel", "fico_band", "customer_segment", "product_type", "region")
@@ -127,6 +146,7 @@ def _measures(within: str, least: int) -> str:
         {now} - {was} AS rate_change, coalesce(CAST(greatest(cn - pn, 0) AS DOUBLE) / nullif(CAST(sum(greatest(cn - pn, 0)) OVER ({within}) AS DOUBLE), 0), 0) AS contribution_share_of_positive_dispute_change, least(pd, cd) < {least} AS min_denominator_flag"""
 
 
+_add("dispute_leaders", f"SELECT merchant_category, channel, fico_band, count(*) AS disputed_purchases FROM facts WHERE month = '{Q.NOW}' AND is_disputed = 1 GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3 LIMIT 8", _FACTS)
 _SEGMENTS = f"SELECT segment_name, segment_value, {_measures('PARTITION BY segment_name', 50)} FROM moved"
 _SEG = (_FACTS, _CUT, _moved("cut", "segment_name, segment_value"))
 _add("segment_drivers", _SEGMENTS, *_SEG)
@@ -136,6 +156,7 @@ _PAIRS = f"SELECT 'merchant_category' AS segment_a_name, merchant_category AS se
 _PAIR = (_FACTS, _moved("facts", "merchant_category, channel"))
 _add("interaction_drivers", _PAIRS, *_PAIR)
 _add("heat_domain", f"SELECT -max(abs(rate_change)) AS low, max(abs(rate_change)) AS high FROM ({_PAIRS})", *_PAIR)
+_add("best_pair", f"SELECT segment_a_value, segment_b_value, disputed_change, min_denominator_flag FROM ({_PAIRS.replace('< 10 AS', '< 2 AS')}) WHERE disputed_change > 0 AND NOT min_denominator_flag ORDER BY disputed_change DESC, rate_change DESC NULLS LAST, contribution_share_of_positive_dispute_change DESC, segment_a_value, segment_b_value LIMIT 1", *_PAIR)
 _cells = ", ".join(f"any_value(disputed_change) FILTER (segment_b_value = '{c}') AS \"{c}\"" for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
 _add("interaction_heatmap", f"SELECT segment_a_value, {_cells} FROM ({_PAIRS}) GROUP BY 1", *_PAIR)
 
@@ -262,6 +283,12 @@ def _theme_counts(keys: str, skeleton: str, within: str) -> str:
 
 _THEMES = f"(SELECT unnest([{_list(Q.TAXONOMY)}]) AS theme_name)"
 _add("theme_summary", _theme_counts("theme_name", f"SELECT * FROM {_THEMES}", ""), *_THEMED, f"recent AS (SELECT * FROM labelled WHERE month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}'))")
+_add(
+    "best_theme",
+    f"SELECT theme_name, complaint_change FROM ({_theme_counts('theme_name', f'SELECT * FROM {_THEMES}', '')}) WHERE complaint_change > 0 ORDER BY complaint_change DESC, share_change DESC NULLS LAST, avg_similarity DESC NULLS LAST, theme_name LIMIT 1",
+    *_THEMED,
+    f"recent AS (SELECT * FROM labelled WHERE month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}'))",
+)
 _add(
     "segment_themes",
     _theme_counts("segment_name, segment_value, theme_name", f"SELECT DISTINCT segment_name, segment_value, t.theme_name FROM recent CROSS JOIN {_THEMES} t", "PARTITION BY segment_name, segment_value"),

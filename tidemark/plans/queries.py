@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators import actions, dedup, drivers, evidence, metrics, periods, quality, sqlviews, themes
-from tidemark.sources import roles
+from tidemark.sources import roles, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +123,21 @@ def period_comparison(spark, sf_dir):
     return metrics.comparison(metrics.monthly_trend(roles.tables(spark, sf_dir), "dispute_rate"), "dispute_rate", NOW, BEFORE)
 
 
+@query
+def selected_trend(spark, sf_dir):
+    return _flat(metrics.selected(metrics.monthly_trend(roles.tables(spark, sf_dir), "dispute_rate"), NOW, BEFORE))
+
+
+@query
+def ground_truth_rates(spark, sf_dir):
+    return synthetic.ground_truth(roles.tables(spark, sf_dir))
+
+
+@query
+def dispute_leaders(spark, sf_dir):
+    return drivers.dispute_leaders(drivers.purchase_facts(roles.tables(spark, sf_dir)), NOW)
+
+
 @query
 def remediation_impact(spark, sf_dir):
     return metrics.remediation(metrics.monthly_trend(roles.tables(spark, sf_dir), "dispute_rate"), "dispute_rate", NOW)
@@ -146,7 +161,7 @@ _view("segment_rate_interaction", "segment_category_channel")
 
 @query
 def sql_parity(spark, sf_dir):
-    return sqlviews.parity(spark, roles.tables(spark, sf_dir)).select("check_name", "differences", "matches")
+    return sqlviews.parity(spark, roles.tables(spark, sf_dir))
 
 
 def _segments(spark, sf_dir):
@@ -168,8 +183,8 @@ def rate_deterioration(spark, sf_dir):
     return drivers.rate_deterioration(_segments(spark, sf_dir), n=10)
 
 
-def _pairs(spark, sf_dir):
-    return drivers.interaction_drivers(drivers.purchase_facts(roles.tables(spark, sf_dir)), "merchant_category", "channel", NOW, BEFORE, 10)
+def _pairs(spark, sf_dir, least=10):
+    return drivers.interaction_drivers(drivers.purchase_facts(roles.tables(spark, sf_dir)), "merchant_category", "channel", NOW, BEFORE, least)
 
 
 @query
@@ -377,6 +392,16 @@ def best_rows(spark, sf_dir):
     return actions.best_driver(_fraud_drivers(spark, sf_dir)).select("segment_name", "segment_value", "numerator_change")
 
 
+@query
+def best_pair(spark, sf_dir):
+    return actions.best_interaction(_pairs(spark, sf_dir, 2)).select("segment_a_value", "segment_b_value", "disputed_change", "min_denominator_flag")
+
+
+@query
+def best_theme(spark, sf_dir):
+    return actions.best_theme(themes.summary(_labelled(spark, sf_dir), TEXT_NOW, TEXT_BEFORE, TAXONOMY)).select("theme_name", "complaint_change")
+
+
 @query
 def scenarios(spark, sf_dir):
     best = actions.best_driver(_fraud_drivers(spark, sf_dir))

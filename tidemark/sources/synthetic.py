@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.dedup import deduplicate
 from tidemark.operators.quality import ACCEPTED
 
 SEGMENTS = ("new", "core", "premium", "dormant")
@@ -78,8 +79,38 @@ def tables(spark: SparkSession, n_accounts: int = 500, n_transactions: int = 20_
 
 
 def ground_truth(t: dict[str, DataFrame]) -> DataFrame:
-    """What was planted: replays by month, and blank categories."""
-    from tidemark.functions.exprs import count_when, is_blank, month_of
+    """What there is to find, by month of purchase: rows, events and blank categories, disputes as loaded and without replays, and both rates."""
+    from tidemark.functions.exprs import count_when, is_blank, month_of, safe_ratio
 
-    tx = t["transactions"]
-    return tx.groupBy(month_of(F.col("transaction_date")).alias("month")).agg(F.count("*").alias("rows"), F.count_distinct("source_transaction_id").alias("events"), count_when(is_blank(tx, "merchant_category")).alias("blank_categories"), F.sum("is_disputed").alias("disputed")).orderBy("month")
+    tx = t["transactions"].filter(F.col("transaction_type") == "purchase").withColumn("month", month_of(F.col("transaction_date")))
+    loaded = tx.groupBy("month").agg(F.count("*").alias("rows"), F.sum("is_disputed").cast("long").alias("disputed"), count_when(is_blank(tx, "merchant_category")).alias("blank_categories"))
+    once = deduplicate(t["transactions"]).filter(F.col("transaction_type") == "purchase").withColumn("month", month_of(F.col("transaction_date")))
+    events = once.groupBy("month").agg(F.count("*").alias("events"), F.sum("is_disputed").cast("long").alias("disputed_events"))
+    return loaded.join(events, "month", "left").select("month", "rows", "events", "blank_categories", "disputed", "disputed_events", safe_ratio(F.col("disputed"), F.col("rows")).alias("rate"), safe_ratio(F.col("disputed_events"), F.col("events")).alias("rate_without_replays")).orderBy("month")
+
+
+def ground_truth_report(t: dict[str, DataFrame], period: str, probes: dict[str, str]) -> str:
+    """The same as Markdown, with where the disputes of one period are, what its complaints are about, and which words rose since the month before."""
+    from tidemark.functions.exprs import month_of
+    from tidemark.operators import drivers
+
+    said = t["complaints"].select(month_of(F.col("date_received")).alias("month"), "issue", F.lower("complaint_narrative").alias("text"))
+    before = said.filter(F.col("month") < period).agg(F.max("month").alias("m")).first().m
+    issues = said.filter(F.col("month") == period).groupBy("issue").agg(F.count("*").alias("complaints")).orderBy(F.desc("complaints"), "issue")
+    counted = said.agg(*[F.count_if(F.col("text").rlike(p) & (F.col("month") == m)).alias(f"{w} {k}") for k, p in probes.items() for w, m in (("was", before), ("now", period))]).first()
+    rose = sorted(((counted[f"now {k}"] - counted[f"was {k}"], k, counted[f"was {k}"], counted[f"now {k}"]) for k in probes), key=lambda x: (-x[0], x[1]))
+    parts = [
+        ("Months", _markdown(ground_truth(t))), (f"Disputes of {period}", _markdown(drivers.dispute_leaders(drivers.purchase_facts(t), period))), (f"Complaints of {period}", _markdown(issues)),
+        (f"Words since {before}", _lines(["probe", "before", "now", "change"], [(k, was, now, d) for d, k, was, now in rose])),
+    ]
+    return "# What was planted\n\n" + "\n\n".join(f"## {title}\n\n{body}" for title, body in parts) + "\n"
+
+
+def _markdown(df: DataFrame) -> str:
+    """A result table of a few dozen rows."""
+    return _lines(df.columns, [tuple(r) for r in df.collect()])
+
+
+def _lines(names: Sequence[str], rows: Sequence[tuple]) -> str:
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in (names, ["---"] * len(names), *rows))
