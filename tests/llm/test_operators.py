@@ -316,6 +316,62 @@ def test_quality(spark, docs, empty):
     assert {x.score for x in quality.scores(spark, docs, labels.limit(0)).collect()} == {0.5}
 
 
+def naive_score(net, data):
+    """The forward pass, one number at a time."""
+    step, chunks = quality.CHUNK - quality.OVERLAP, []
+    for a in range(0, max(1, len(data) - quality.OVERLAP), step) if len(data) > quality.CHUNK else [0]:
+        chunk = list(data[a : a + quality.CHUNK])
+        chunk += [quality.PAD] * (quality.CHUNK - len(chunk))
+        best = [max(sum(float(net.table[k][chunk[i + k]][f]) for k in range(quality.WIDTH)) for i in range(quality.CHUNK - quality.WIDTH + 1)) for f in range(quality.FILTERS)]
+        chunks.append([np.tanh(b + float(net.shift[f])) for f, b in enumerate(best)])
+    features = [*np.mean(chunks, axis=0), *np.max(chunks, axis=0)]
+    return 1 / (1 + np.exp(-(sum(x * float(w) for x, w in zip(features, net.out, strict=True)) + float(net.bias))))
+
+
+def test_quality_forward_pass_equals_naive():
+    r = random.Random(3)
+    data = [b"", b"a", bytes(r.randrange(256) for _ in range(512)), bytes(r.randrange(256) for _ in range(1100))]
+    net = quality.Network(5).fixed()
+    got = net.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert got == pytest.approx([naive_score(net, d) for d in data], abs=1e-5)
+
+
+def test_quality_gradients_equal_differences():
+    r = np.random.default_rng(2)
+    net = quality.Network(5)
+    net.table, net.shift, net.out, net.bias = (np.asarray(x, np.float64) for x in (net.table, net.shift, net.out, net.bias))
+    data = [r.integers(0, 256, n).astype(np.uint8) for n in (3, 700, 1500)]
+    chunks, doc = quality.chunked(np.concatenate(data), np.cumsum([0, *map(len, data)]))
+    labels, weight = np.array([1.0, 0.0, 1.0]), np.array([0.7, 1.0, 1.3])
+
+    def loss():
+        p = net.combine(net.pooled(chunks)[0], doc)[1]
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).mean()
+
+    *grads, bias = net.gradients(chunks, doc, labels, weight)
+    for param, grad in zip((net.table, net.shift, net.out), grads, strict=True):
+        flat, slope = param.reshape(-1), grad.reshape(-1)
+        for i in [*np.argsort(-np.abs(slope))[:8], *r.integers(0, len(flat), 5)]:
+            old, sides = flat[i], []
+            for h in (1e-6, -1e-6):
+                flat[i] = old + h
+                sides.append(loss())
+            flat[i] = old
+            assert slope[i] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-6)
+    net.bias = net.bias + 1e-6
+    up = loss()
+    net.bias = net.bias - 2e-6
+    assert bias == pytest.approx((up - loss()) / 2e-6, abs=1e-6)
+
+
+def test_quality_of_odd_tables(spark, docs):
+    """Identifiers of another type, labels that repeat or aren't 0 or 1, null identifiers, long texts."""
+    rows = docs.select(F.col("doc_id").cast("int").alias("doc_id"), "text", F.lit(1).alias("label"), F.lit(2).alias("h"), F.lit(3).alias("key"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 2 + [(None, 1), (3, 7), (4, None), (999, 1)], "doc_id long, quality int")
+    got = quality.scores(spark, rows, labels).collect()
+    assert len(got) == docs.count() and len({r.score for r in got}) > 3 and all(0 <= r.score <= 1 and r.predicted == (r.score >= quality.THRESHOLD) for r in got)
+
+
 def test_quality_chunks_cover_the_text():
     buf = np.frombuffer(bytes(range(256)) * 9, np.uint8)
     chunks, doc = quality.chunked(buf, np.array([0, 0, 5, 512, 513, len(buf)]))
