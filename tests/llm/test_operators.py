@@ -225,6 +225,17 @@ def test_bpe_equals_the_library(spark, docs, empty, bpe):
     assert byte_bpe.round_trip(spark, empty, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_cache_is_bounded_by_bytes(bpe, monkeypatch):
+    v, _, library = bpe
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 64 << 10)
+    own, r = byte_bpe.Encoder(v, public_tokenizers.PATTERN), random.Random(7)
+    for _ in range(300):
+        t = " ".join("".join(r.choice("abcdefgh漢字") for _ in range(r.randint(1, 9))) for _ in range(20)) + "漢" * 3000
+        assert own.encode(t).tolist() == library.encode_ordinary(t)
+        for cache in (own.pieces, own.plain, own.spaced):
+            assert sum(200 + 4 * len(k) + len(x) for k, x in cache.items()) <= 64 << 10 and all(len(k) < 300 for k in cache)
+
+
 def test_bpe_appends_and_edits(bpe):
     v, _, _ = bpe
     r = random.Random(6)

@@ -18,8 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,7 +33,8 @@ from tidemark.llm.runtime import named, ship
 from tidemark.llm.words import slices
 
 NEVER = 1 << 60
-CACHED = 200_000  # entries of a generation of a cache; two generations are held
+CACHE_BYTES = 48 << 20  # of a generation of a cache, about; two generations are held
+BORDERS = 800_000  # that are remembered
 
 
 class Vocabulary:
@@ -90,7 +91,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self.borders.get(key)
         if known is None:
-            if len(self.borders) > 4 * CACHED:
+            if len(self.borders) > BORDERS:
                 self.borders.clear()
             known = self.borders[key] = self._stays(self._spine(a, 1, self._right), self._spine(b, 0, self._left))
         return known
@@ -163,20 +164,24 @@ class PrefixTable:
 
 
 class _Cache(dict):
-    """What was computed, in two generations."""
+    """str -> bytes that were computed, in two generations of bounded size. What is longer than a generation is not held at all."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.size = make, {}, 0
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= CACHED:
-            self.old = dict(self)
+        cost = 200 + 4 * len(key) + len(found)
+        if cost > CACHE_BYTES >> 6:
+            return found
+        if self.size + cost > CACHE_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = found
+        self.size += cost
         return found
 
 
@@ -192,16 +197,20 @@ class Encoder:
         self.space = regex.compile(r"\s").match
         self.plain = _Cache(self._pieces)
         self.spaced = _Cache(self._after_space)
+        tokens = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of, default=-1) + 1)]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
+        return array("i", (whole,) if whole is not None else PrefixTable(self.vocabulary, data).tokens()).tobytes()
 
-    def _pieces(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def _after_space(self, rest: str) -> tuple[int, ...]:
+    def _after_space(self, rest: str) -> bytes:
         if not rest or self.space(rest):
             raise _SpaceRun
         return self._pieces(" " + rest)
@@ -211,12 +220,19 @@ class Encoder:
         stands between them is remembered whole, unless a space is followed by white space or nothing."""
         try:
             first, *rest = text.split(" ")
-            return np.fromiter(chain(self.plain[first] if first else (), chain.from_iterable(map(self.spaced.__getitem__, rest))), np.int32)
+            ids = b"".join([self.plain[first] if first else b"", *map(self.spaced.__getitem__, rest)])
         except _SpaceRun:
-            return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))), np.int32)
+            ids = self._pieces(text)
+        return np.frombuffer(ids, np.int32)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_many(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].tobytes()
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where each text's end, given where its ids do."""
+        sizes = self.sizes[ids]
+        after = np.concatenate(([0], np.cumsum(sizes)))
+        return self.bytes[np.repeat(self.starts[ids] - after[:-1], sizes) + np.arange(after[-1])], after[ends]
 
 
 def encoder(ranks: bytes, pattern: str) -> Encoder:
@@ -241,15 +257,14 @@ def round_trip(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: s
         for batch in batches:
             for i, j, buf, offs in slices(batch.column("text")):
                 data, at = buf.tobytes(), offs.tolist()
-                ids, decoded = [], []
-                for a, b in zip(at, at[1:], strict=False):
-                    own = e.encode(data[a:b].decode())
-                    ids.append(own)
-                    decoded.append(e.decode(own.tolist()))
+                ids = [e.encode(data[a:b].decode()) for a, b in zip(at, at[1:], strict=False)]
                 ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                flat = np.concatenate(ids)
+                decoded, after = e.decode_many(flat, ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(after.astype(np.int64)), pa.py_buffer(decoded)]).cast(pa.binary())
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column("id"), lists, pa.array(decoded, pa.binary()), own.column("row")], ["id", "ids", "decoded", "row"])
+                yield pa.RecordBatch.from_arrays([own.column("id"), lists, texts, own.column("row")], ["id", "ids", "decoded", "row"])
 
     kinds = {f.name: f.dataType for f in source.schema.fields}
     return source.mapInArrow(run, T.StructType([T.StructField("id", kinds["id"]), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), T.StructField("row", kinds["row"])]))
