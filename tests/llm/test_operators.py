@@ -170,6 +170,18 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge_urls(spark, rows, []).collect()} == {"allow"}
 
 
+def test_url_index_of_many_files(spark, monkeypatch):
+    """A long list of rules is cut into files; every rule is found, whichever it stands in."""
+    r = random.Random(11)
+    rules = [(r.choice(["allow", "block"]), f"h{i}.example.{r.choice(['com', 'net'])}", "/" + "d/" * r.randint(0, 3)) for i in range(3000)]
+    one, many = url_filter.build_index(rules), url_filter.build_index(rules, 4096)
+    assert len(one) == 1 and len(many) > 20 and all(len(f) < 5000 for f in many)
+    monkeypatch.setattr(url_filter, "SHARD_BYTES", 4096)
+    urls = [f"http://x.{h}{p}page" for _, h, p in rules]
+    got = url_filter.judge_urls(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert {x.id: (x.rule, x.verdict) for x in got} == {i: (h + p, v) for i, (v, h, p) in enumerate(rules)}
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(400, 16))
