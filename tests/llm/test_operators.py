@@ -210,10 +210,12 @@ def test_cover_tree_pairs_equal_brute_force():
     centres = r.normal(size=(20, 8))
     a = np.concatenate([c + r.normal(size=(40, 8)) * 0.05 for c in centres])
     a /= np.linalg.norm(a, axis=1)[:, None]
-    i, j = embedding_dedup.linked(a, None, 0.98)
+    tree = embedding_dedup.CoverTree(a)
+    tree = embedding_dedup.CoverTree.read(a, tree.stored())
+    i, j = embedding_dedup.linked(tree, None, 0.98)
     want = {(x, y) for x, y in zip(*np.nonzero(np.triu(a @ a.T >= 0.98, 1)), strict=True)}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
-    i, j = embedding_dedup.linked(a[:300], a[300:], 0.98)
+    i, j = embedding_dedup.linked(embedding_dedup.CoverTree(a[:300]), embedding_dedup.CoverTree(a[300:]), 0.98)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(x, y - 300) for x, y in want if x < 300 <= y}
 
 

@@ -3,10 +3,11 @@
 Only vectors of one label are compared. Vectors are scaled to length 1 in double precision, where cosine c is chord
 sqrt(2 - 2c). Equal vectors are one class from the start and their copies are never expanded. A label's classes are dealt
 into cells: the nearest of DIRECTIONS fixed unit vectors, and within it blocks of about BLOCK vectors, so that no task
-holds more than two blocks. Each block has a centre and a covering radius; pairs of blocks whose balls are further apart
-than the threshold are pruned before any vector moves. For each pair that stays, both blocks get a cover tree (nested levels
-whose radii halve) and the two trees are walked together, level by level: a pair of nodes is dropped when the distance
-of their centres exceeds both covering radii and the threshold. Pairs of leaves are compared directly.
+holds more than two blocks. Each block gets its cover tree once (nested levels whose radii halve; the centres of a level within
+a node are further apart than its radius), which is stored with its points. Pairs are pruned from the top: first cells, then
+blocks of cells that may meet, both by centres and covering radii, before any vector moves; then the trees of two blocks are
+walked together, level by level: a pair of nodes is dropped when the distance of their centres exceeds both covering radii and
+the threshold. Pairs of leaves are compared directly.
 
 What a task gives is linear in its vectors: for each the number of vectors it links with, and a forest of links that joins
 what is connected. Vectors far apart in many dimensions leave little to prune; a label of n vectors then costs n^2
@@ -19,11 +20,12 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -78,6 +80,17 @@ class CoverTree:
                 self.children[k].append(node(int(own[0]), own))
         self.centres, self.radii = np.array(centres), np.array(radii)
 
+    def stored(self) -> bytes:
+        """All but the points."""
+        return pickle.dumps((self.members, self.children, self.centres, self.radii, self.root))
+
+    @classmethod
+    def read(cls, points: np.ndarray, data: bytes) -> CoverTree:
+        tree = cls.__new__(cls)
+        tree.points = points
+        tree.members, tree.children, tree.centres, tree.radii, tree.root = pickle.loads(data)
+        return tree
+
 
 def dual_pairs(a: CoverTree, b: CoverTree, chord: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Points of a and of b to be compared; with same, each unordered pair of leaves once."""
@@ -99,23 +112,23 @@ def dual_pairs(a: CoverTree, b: CoverTree, chord: float, same: bool) -> Iterator
                 todo += [(i, q) for q in right]
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (places in a, places in b) at the threshold; without b, pairs of a with the first place smaller."""
+def linked(one: CoverTree, other: CoverTree | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (places in one, places in the other) at the threshold; without other, pairs of one with the first place smaller."""
     chord = float(np.sqrt(2 - 2 * cosine))
-    one = CoverTree(a)
-    two = one if b is None else CoverTree(b)
+    two = other or one
     rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for p, q in dual_pairs(one, two, chord, b is None):
+    for p, q in dual_pairs(one, two, chord, other is None):
         i, j = np.nonzero(one.points[p] @ two.points[q].T >= cosine)
         i, j = p[i], q[j]
-        if b is None:
+        if other is None:
             keep = i != j
             i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
         rows.append(i)
         columns.append(j)
     i, j = np.concatenate(rows), np.concatenate(columns)
-    if b is None and len(i):  # a leaf against itself gives both orders
-        i, j = np.divmod(np.unique(i * len(a) + j), len(a))
+    if other is None and len(i):  # a leaf against itself gives both orders
+        n = len(one.points)
+        i, j = np.divmod(np.unique(i * n + j), n)
     return i, j
 
 
@@ -160,26 +173,26 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("cell", pa.array(cell))
 
 
-def _ball(table: pa.Table) -> pa.Table:
+def _block(table: pa.Table) -> pa.Table:
+    """One row: the block's ball, and its points with their tree."""
+    table = table.sort_by("rep")
     m = _matrix(table["v"].combine_chunks())
     mean = m.mean(axis=0)
     centre = mean / (np.linalg.norm(mean) or 1.0)
     radius = float(np.sqrt(np.maximum(0, np.einsum("ij,ij->i", m - centre, m - centre))).max())
-    first = table.slice(0, 1)
-    return pa.table({"block": first["block"], "label": first["label"], "dim": first["dim"], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
+    facts = {c: table.slice(0, 1)[c] for c in ("block", "label", "dim", "cell")}
+    numbers = {c: pa.array([table[c].to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("rep", "copies")}
+    return pa.table({**facts, "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius], **numbers, "points": pa.array([m.tobytes()], pa.binary()), "tree": pa.array([CoverTree(m).stored()], pa.binary())})
 
 
 def _compare(cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        left, right = (table.filter(pa.compute.equal(table["side"], s)) for s in (0, 1))
-        reps = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
-        copies = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
-        a = _matrix(left["v"].combine_chunks())
-        b = _matrix(right["v"].combine_chunks()) if right.num_rows else None
-        i, j = linked(a, b, cosine)
-        if b is not None:
-            j = j + len(a)
+        rows = table.sort_by("side").to_pylist()
+        reps, copies = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("rep", "copies"))
+        trees = [CoverTree.read(np.frombuffer(r["points"]).reshape(-1, r["dim"]), r["tree"]) for r in rows]
+        i, j = linked(trees[0], trees[1] if len(trees) > 1 else None, cosine)
+        if len(trees) > 1:
+            j = j + len(trees[0].points)
         links = np.bincount(i, copies[j], len(reps)) + np.bincount(j, copies[i], len(reps))
         joins = forest(len(reps), i, j)
         some = np.flatnonzero(links)
@@ -195,6 +208,31 @@ def _compare(cosine: float):
     return run
 
 
+def _distance(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _meeting(balls: DataFrame, key: str, chord: float, within: DataFrame | None = None) -> DataFrame:
+    """(one, two), one <= two, of balls of one label and dimension that the threshold may join; of `within`'s pairs of cells only, if it is given."""
+    side = lambda n: balls.select("label", "dim", F.col("cell").alias(f"cell{n}"), F.col(key).alias(n), F.col("centre").alias(f"centre{n}"), F.col("radius").alias(f"radius{n}"))
+    if within is None:
+        pairs = side("one").join(side("two"), ["label", "dim"])
+    else:
+        pairs = within.join(side("one"), ["label", "dim", "cellone"]).join(side("two"), ["label", "dim", "celltwo"])
+    near = _distance("centreone", "centretwo") <= F.col("radiusone") + F.col("radiustwo") + chord + SLACK
+    return pairs.filter(near & ((F.col("one") <= F.col("two")) if within is None else (F.col("cellone") != F.col("celltwo")) | (F.col("one") <= F.col("two"))))
+
+
+def block_pairs(balls: DataFrame, chord: float) -> DataFrame:
+    """(block1, block2) of blocks that the threshold may join: a cell's ball covers the balls of its blocks, and only blocks of cells that meet are
+    looked at."""
+    first = balls.groupBy("label", "dim", "cell").agg(F.min_by("centre", "block").alias("middle"))
+    cells = balls.join(first, ["label", "dim", "cell"]).groupBy("label", "dim", "cell", "middle").agg(F.max(_distance("middle", "centre") + F.col("radius")).alias("radius"))
+    cells = cut(cells.withColumnRenamed("middle", "centre"), "cells")
+    within = _meeting(cells, "cell", chord).select("label", "dim", "cellone", "celltwo")
+    return _meeting(balls, "block", chord, within).select(F.col("one").alias("block1"), F.col("two").alias("block2"))
+
+
 def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: id (long), n_links, component, kept (id = component)."""
     ship(spark)
@@ -209,16 +247,13 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
     dealt = classes.join(counts, ["label", "dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
     # Small cells of a label go together, up to a block's size on average.
     totals = counts.groupBy("label", "dim").agg(F.sum("n").alias("all"))
-    dealt = dealt.join(totals, ["label", "dim"]).withColumn("group", F.pmod("cell", F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK))))
-    dealt = cut(dealt.withColumn("block", F.xxhash64("label", "dim", "group", F.when(F.col("n") > BLOCK, F.struct("cell", "salt")))).select("block", "label", "dim", "rep", "copies", "v"), "blocks")
+    dealt = dealt.join(totals, ["label", "dim"]).withColumn("cell", F.pmod("cell", F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK))))
+    dealt = dealt.withColumn("block", F.xxhash64("label", "dim", "cell", F.when(F.col("n") > BLOCK, F.col("salt")))).select("block", "label", "dim", "cell", "rep", "copies", "v")
     kind = rows.schema["label"].dataType.simpleString()
-    balls = cut(dealt.groupBy("block").applyInArrow(_ball, f"block long, label {kind}, dim int, centre array<double>, radius double"), "balls")
-    one, two = (balls.select("label", "dim", *[F.col(c).alias(f"{c}{s}") for c in ("block", "centre", "radius")]) for s in "12")
-    gap = F.sqrt(F.aggregate(F.zip_with("centre1", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    chord = float(np.sqrt(2 - 2 * cosine))
-    pairs = one.join(two, ["label", "dim"]).filter((F.col("block1") <= F.col("block2")) & (gap <= F.col("radius1") + F.col("radius2") + chord + SLACK)).select("block1", "block2")
+    blocks = cut(dealt.groupBy("block").applyInArrow(_block, f"block long, label {kind}, dim int, cell long, centre array<double>, radius double, rep binary, copies binary, points binary, tree binary"), "blocks")
+    pairs = cut(block_pairs(blocks.select("block", "label", "dim", "cell", "centre", "radius"), float(np.sqrt(2 - 2 * cosine))), "block-pairs")
     tasks = pairs.select("block1", "block2", F.explode(F.when(F.col("block1") == F.col("block2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sent = tasks.withColumn("block", F.when(F.col("side") == 0, F.col("block1")).otherwise(F.col("block2"))).join(dealt.select("block", "rep", "copies", "v"), "block")
+    sent = tasks.withColumn("block", F.when(F.col("side") == 0, F.col("block1")).otherwise(F.col("block2"))).join(blocks.select("block", "dim", "rep", "copies", "points", "tree"), "block")
     found = cut(sent.groupBy("block1", "block2").applyInArrow(_compare(cosine), "a long, b long, links long"), "vector-links")
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     joined = components(found.filter("b is not null").select("a", "b"))
