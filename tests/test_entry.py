@@ -2,16 +2,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
-FEW = ("trend_raw_vs_corrected", "segment_drivers", "category_psi", "fk_orphans", "theme_assignment", "number_validation")
+NAMES = sorted(ORACLE)
 
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.operators import quality
 from tidemark.plans import queries as Q
 from tidemark.sources.roles import ISSUES
 
@@ -13,7 +14,7 @@ def _list(values) -> str:
 ROLES = f"""
 WITH accounts AS (
     SELECT CAST(c_custkey AS VARCHAR) AS account_id, 'product_' || (c_custkey % 5) AS product_type, c_mktsegment AS customer_segment,
-        CASE WHEN c_acctbal < 0 THEN '<=660' ELSE '>660' END AS fico_band, r_name AS region
+        CASE WHEN c_acctbal < 0 THEN '<=660' ELSE '>660' END AS fico_band, r_name AS region, 1 AS active_flag, c_acctbal + 1000 AS credit_limit
     FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 ), transactions AS (
     SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id, l_orderkey || '-' || l_linenumber AS source_transaction_id,
@@ -21,7 +22,7 @@ WITH accounts AS (
         o_orderpriority AS channel, CASE WHEN l_suppkey % 13 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS transaction_amount,
         CASE WHEN l_linestatus = 'F' THEN 'purchase' ELSE 'payment' END AS transaction_type, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_disputed,
         CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS is_fraud_claim, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS payment_failed,
-        'batch_' || (l_suppkey % 9) AS ingestion_batch_id, l_shipdate AS created_at, strftime(l_shipdate, '%Y-%m') AS month
+        'batch_' || (l_suppkey % 9) AS ingestion_batch_id, 'ledger' AS source_system, l_shipdate AS created_at, strftime(l_shipdate, '%Y-%m') AS month
     FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
 ), flagged AS (
     SELECT *, row_number() OVER (PARTITION BY source_transaction_id ORDER BY created_at, transaction_id) = 1 AS kept FROM transactions
@@ -31,7 +32,7 @@ WITH accounts AS (
         sum(CASE WHEN o_orderstatus = 'F' AND o_orderkey % 20 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS charge_off_balance
     FROM orders GROUP BY 1, 2, 3
 ), complaints AS (
-    SELECT CAST(d.doc_id AS VARCHAR) AS complaint_id, CAST(d.doc_id % 150 AS VARCHAR) AS account_id, '2001-0' || (d.doc_id % 8 + 1) AS month, text AS narrative, source AS submitted_via,
+    SELECT CAST(d.doc_id AS VARCHAR) AS complaint_id, CAST(d.doc_id % 150 AS VARCHAR) AS account_id, '2001-0' || (d.doc_id % 8 + 1) AS month, text AS narrative, text AS complaint_narrative, lang AS product, true AS date_received, source AS submitted_via,
         [{_list(ISSUES)}][CAST(d.doc_id % 4 + 1 AS INT)] AS issue, CASE WHEN quality IS NOT NULL THEN 'q' || quality END AS merchant_category,
         'c' || (d.doc_id % 3) AS channel, 'seg' || (d.doc_id % 4) AS customer_segment, CASE WHEN d.doc_id % 7 = 0 THEN '<=660' ELSE '>660' END AS fico_band
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
@@ -319,3 +320,53 @@ ORACLE["number_validation"] = f"""WITH {_NUMBERS}, keys AS (SELECT DISTINCT roun
         WHEN value = floor(value) AND abs(value) <= 10 AND NOT contains(token, '%') AND NOT contains(token, '.') THEN 'ignored' ELSE 'unsupported' END AS verdict FROM valued WHERE value IS NOT NULL)
     SELECT page_id, verdict, count(*) AS tokens FROM judged GROUP BY 1, 2"""
 ORACLE["selection_filter"] = "SELECT doc_id, source, lang FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src7') AND (lang = 'en' OR regexp_matches(concat_ws(' ', text, lang), '2019-?03|2021-?11'))"
+
+
+# --- the whole report: each check as one row ---------------------------------------------------------------
+
+_SOURCES = {"accounts": "accounts", "transactions": "transactions", "complaints": "complaints", "account_monthly_snapshot": "(SELECT *, month AS snapshot_month FROM snapshots)"}
+_THERE = {
+    "accounts": ("account_id", "product_type", "customer_segment", "fico_band", "region", "active_flag", "credit_limit"), "transactions": quality.REQUIRED["transactions"], "complaints": quality.REQUIRED["complaints"],
+    "account_monthly_snapshot": ("snapshot_month", "account_id", "active_flag", "statement_balance", "is_30dpd"),
+}
+
+
+def _empty(c: str) -> str:
+    return f"(trim(coalesce(CAST({c} AS VARCHAR), '')) = '')"
+
+
+def _row(name: str, kind: str, table: str, columns: str, inner: str, fail: str = "high") -> str:
+    """inner gives status and n, the rows concerned."""
+    return f"SELECT '{name}' AS check_name, '{kind}' AS check_type, '{table}' AS table_name, status, CASE status WHEN 'fail' THEN '{fail}' WHEN 'warn' THEN 'medium' ELSE 'none' END AS severity, CASE WHEN status = 'pass' THEN 0 ELSE n END AS affected_rows, '{columns}' AS affected_columns FROM ({inner})"
+
+
+def _broken(condition: str, source: str, always: bool = False) -> str:
+    return f"SELECT count(*) FILTER ({condition}) AS n, CASE WHEN {'true' if always else f'count(*) FILTER ({condition}) > 0'} THEN 'fail' ELSE 'pass' END AS status FROM {source}"
+
+
+def _anomalous(series: str, floor: str) -> str:
+    return f"WITH series AS ({series}), {_scanned(floor)} SELECT status, n FROM ({_worst(extra='n, ')})"
+
+
+def _drift(c: str) -> str:
+    return f"""WITH counts AS (SELECT month, CASE WHEN {_empty(c)} THEN '__missing__' ELSE {c} END AS bucket, count(*) AS n FROM transactions GROUP BY 1, 2),
+        mix AS (SELECT m.month, b.bucket, coalesce(n, 0) AS rows, coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY m.month) AS DOUBLE) AS share FROM (SELECT DISTINCT month FROM counts) m CROSS JOIN (SELECT DISTINCT bucket FROM counts) b LEFT JOIN counts c ON c.month = m.month AND c.bucket = b.bucket),
+        terms AS (SELECT *, (greatest(share, 1e-6) - greatest(expected, 1e-6)) * ln(greatest(share, 1e-6) / greatest(expected, 1e-6)) AS term FROM (SELECT *, avg(share) OVER w AS expected, count(share) OVER w AS history FROM mix WINDOW w AS (PARTITION BY bucket ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) WHERE history >= 3)
+        SELECT CASE WHEN psi >= 0.25 THEN 'fail' WHEN psi >= 0.1 THEN 'warn' ELSE 'pass' END AS status, top_rows AS n FROM (SELECT month, sum(term) AS psi, max_by(rows, term) AS top_rows FROM terms GROUP BY 1) ORDER BY psi DESC, month LIMIT 1"""
+
+
+_CHECKS = [
+    _row("duplicate_source_event_ids", "rule_based", "transactions", "source_transaction_id", "SELECT CAST(sum(k - 1) AS BIGINT) AS n, CASE WHEN sum(k - 1) > 0 THEN 'fail' ELSE 'pass' END AS status FROM (SELECT count(*) AS k FROM transactions GROUP BY source_transaction_id)"),
+    *(_row(f"required_field_completeness__{t}", "rule_based", t, ", ".join(quality.REQUIRED[t]), _broken(" OR ".join(map(_empty, there)), _SOURCES[t], set(there) != set(quality.REQUIRED[t]))) for t, there in _THERE.items()),
+    _row("posted_on_or_after_transaction", "rule_based", "transactions", "transaction_date, posted_date", _broken("posted_date < transaction_date", "transactions")),
+    _row("amount_sign_validity", "rule_based", "transactions", "transaction_amount, transaction_type, payment_failed", _broken(" OR ".join(f"({v})" for v in _SIGNS.values()), "transactions")),
+    *(_row(f"accepted_values__{t}__{c}", "rule_based", t, c, _broken(f"NOT {_empty(c)} AND {c} NOT IN ({_list(d)})", _SOURCES[t]), "medium") for (t, c), d in Q.DOMAINS.items()),
+    *(_row(f"referential_integrity__{t}__accounts", "rule_based", t, "account_id", _broken("true", f"{_SOURCES[t]} ANTI JOIN accounts USING (account_id)")) for t in ("transactions", "complaints", "account_monthly_snapshot")),
+    *(_row(f"monthly_row_count_anomaly__{t}", "statistical", t, "*", _anomalous(f"SELECT month, count(*) AS n, CAST(count(*) AS DOUBLE) AS value FROM {_SOURCES[t]} GROUP BY 1", _ZERO)) for t in ("transactions", "complaints", "account_monthly_snapshot")),
+    *(_row(f"null_rate_drift__{t}__{c}", "statistical", t, c, _anomalous(f"SELECT month, count(*) FILTER ({_empty(c)}) AS n, CAST(count(*) FILTER ({_empty(c)}) AS DOUBLE) / count(*) AS value FROM {_SOURCES[t]} GROUP BY 1", _NULLS)) for t, c in quality.NULL_RATES),
+    *(_row(f"category_distribution_drift__{t}__{c}", "statistical", t, c, _drift(c)) for t, c in quality.MIXES),
+    _row("kpi_anomaly__dispute_rate", "statistical", "transactions", "is_disputed", _anomalous("SELECT month, CAST(sum(is_disputed) AS BIGINT) AS n, CAST(sum(is_disputed) AS DOUBLE) / count(*) AS value FROM transactions WHERE transaction_type = 'purchase' GROUP BY 1", _KPI)),
+    # The catalogue isn't among the tables: it is the engine's own and complete.
+    _row("metric_governance_completeness", "governance", "metric_definitions", ", ".join(quality.GOVERNED), "SELECT 0 AS n, 'pass' AS status", "medium"),
+]
+_add("quality_report", "SELECT *, CAST(affected_rows AS BIGINT) AS affected_rows, md5(check_name || '|' || status) AS finding FROM (".replace("SELECT *,", "SELECT * EXCLUDE (affected_rows),") + " UNION ALL ".join(f"({c})" for c in _CHECKS) + ")")
