@@ -165,6 +165,13 @@ def test_text_operators_refuse_bad_arguments(spark):
         themes.assign(rows, {"a": ("x",)}, embedder=lambda texts: np.zeros((len(texts) + 1, 2)))
 
 
+def test_leaders_of_disputes(spark):
+    rows = spark.createDataFrame([("2026-08", 1, "travel", "web", ">660")] * 3 + [("2026-08", 1, "gas", "web", ">660")] * 3 + [("2026-08", 0, "gas", "web", ">660"), ("2026-07", 1, "gas", "web", ">660")], "month string, is_disputed int, merchant_category string, channel string, fico_band string")
+    assert [tuple(r) for r in drivers.dispute_leaders(rows, "2026-08", n=2).collect()] == [("gas", "web", ">660", 3), ("travel", "web", ">660", 3)]
+    with pytest.raises(ValueError, match="positive"):
+        drivers.dispute_leaders(rows, "2026-08", n=0)
+
+
 def test_theme_scores_need_no_shuffle(spark):
     rows = spark.createDataFrame([("1", "a fee and a fee")], "complaint_id string, narrative string")
     plan = themes.assign(rows, {"fees": ("a fee",), "app": ("the app",)})._jdf.queryExecution().executedPlan().toString()
@@ -200,6 +207,15 @@ def test_whole_run(spark, tmp_path):
     paths = report.write(spark, r, f"{tmp_path}/out")
     assert len(paths) >= 18
     write_csv(r.kpi.trend, f"{tmp_path}/again")
+    told = synthetic.ground_truth_report(t, "2026-08", {"fee": r"\bfee", "app": r"\bapp\b"})
+    assert told.startswith("# What was planted") and "| 2026-08 |" in told and "| fee |" in told and "Words since 2026-07" in told
+    shown = report.dashboard(t | back, "dispute_rate")
+    assert [x.month for x in shown["selected"].collect()] == ["2026-07", "2026-08"] and shown["explanation"].validation.status == "pass"
+    assert {x.table_name for x in shown["findings"].collect()} <= {"transactions", "accounts"} and shown["themes"] and shown["drivers"]
+    said = shown["findings"].filter("status <> 'pass'").collect()
+    assert said and all("2026-07" in str(x) or "2026-08" in str(x) for x in said) and shown["quality"].count() == 31
+    other = report.dashboard(t | back, "complaint_rate", "quarterly")
+    assert other["drivers"] is None and other["plan"].recommendations.count() > 0
 
 
 def test_streams(spark, tmp_path):

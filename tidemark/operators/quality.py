@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.functions.exprs import any_of, band, count_when, floored_z, is_blank, month_of, or_missing, outside, psi_term, safe_ratio, severity, sign_rules
+from tidemark.functions.exprs import any_of, band, count_when, floored_z, is_blank, mentions_month, month_of, or_missing, outside, psi_term, safe_ratio, severity, sign_rules
 from tidemark.operators.dedup import duplicate_summary
 
 Tables = Mapping[str, DataFrame]
@@ -275,3 +275,9 @@ def summarize(results: DataFrame) -> DataFrame:
     n = lambda s: count_when(F.col("status") == s)
     names = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("check_name"))))
     return results.agg(F.count("*").alias("total"), n("pass").alias("passed"), n("warn").alias("warned"), n("fail").alias("failed"), safe_ratio(n("pass") + n("warn") * 0.5, F.count("*")).alias("weighted_pass_rate"), names("fail").alias("failed_checks"), names("warn").alias("warned_checks"))
+
+
+def for_selection(results: DataFrame, tables: Sequence[str], months: Sequence[str]) -> DataFrame:
+    """The checks that bear on a KPI's tables and months: those that passed, and those that speak of one of the months."""
+    said = ("check_name", "affected_columns", "observed_value", "explanation", "recommended_action")
+    return ordered(results.filter(F.col("table_name").isin(*tables) & ((F.col("status") == "pass") | mentions_month(said, months))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators import actions, dedup, drivers, evidence, metrics, periods, quality, sqlviews, themes
+from tidemark.plans.report import settled
 from tidemark.sources import roles, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,7 +421,7 @@ def finding_confidence(spark, sf_dir):
 def _plan(spark, sf_dir):
     tables = _tables(spark, sf_dir)
     report = metrics.report(tables, "dispute_rate", "monthly", NOW, BEFORE)
-    results = quality.run_checks(tables, accepted=DOMAINS).cache()
+    results = settled(quality.run_checks(tables, accepted=DOMAINS))
     driver_report = drivers.report(tables, NOW, BEFORE, 50, with_tree=False)
     theme_report = themes.report(tables, TEXT_NOW, TEXT_BEFORE, TAXONOMY)
     return report, results, driver_report, theme_report, actions.plan(report, results, driver_report, theme_report)

@@ -58,10 +58,11 @@ def run_script(spark: SparkSession, script: str) -> None:
         spark.sql(statement)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for result tables of a few hundred rows at most. Arrays become text."""
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header; arrays become text. Written by all tasks; one_file is for result tables of a few hundred rows at most."""
     flat = [F.concat_ws("|", F.col(n)).alias(n) if t.startswith("array") else F.col(n) for n, t in df.dtypes]
-    df.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows = df.select(*flat)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
