@@ -165,7 +165,7 @@ def governance(catalogue: DataFrame) -> DataFrame:
 # --- results ---------------------------------------------------------------
 
 
-def _result(df: DataFrame, name: str, kind: str, table: str, status: Column, affected: Column, columns: str, observed: Column, expected: str, why: str, then: str, fail: str = "high", warn: str = "medium") -> DataFrame:
+def _result(df: DataFrame, name: str | Column, kind: str, table: str, status: Column, affected: Column, columns: str | Column, observed: Column, expected: str, why: str, then: str, fail: str = "high", warn: str = "medium") -> DataFrame:
     s = F.col("_status")
     return df.withColumn("_status", status).select(
         F.lit(name).alias("check_name"), F.lit(kind).alias("check_type"), F.lit(table).alias("table_name"), s.alias("status"), severity(s, fail, warn).alias("severity"), F.when(s == "pass", 0).otherwise(F.coalesce(affected, F.lit(0))).cast("long").alias("affected_rows"),
@@ -218,7 +218,7 @@ def check_references(tables: Tables) -> list[DataFrame]:
     return [_result(orphans(tables[c], k, tables[p], pk), f"referential_integrity__{c}__{p}", "rule_based", c, _fails(n), n, k, _said("%d rows, %d keys", n, F.col("orphan_keys")), f"each {k} in {p}", "Orphans lose their account columns.", "Load the missing parents.") for c, k, p, pk in FOREIGN_KEYS]
 
 
-def _anomaly(worst: DataFrame, name: str, kind: str, table: str, columns: str, affected: Column, t: Thresholds, why: str) -> DataFrame:
+def _anomaly(worst: DataFrame, name: str | Column, kind: str, table: str, columns: str | Column, affected: Column, t: Thresholds, why: str) -> DataFrame:
     observed = F.when(F.col("month").isNull(), "not enough history").otherwise(_said("%s: %.4f, z %.2f (%d months scored)", F.col("month"), F.col("value").cast("double"), F.col("z"), F.col("months_scored")))
     return _result(worst, name, kind, table, F.col("status"), affected, columns, observed, f"|z| < {t.warn_z} against the {t.window} months before", why, "Compare the month with source counts.")
 
@@ -235,9 +235,10 @@ def check_null_rates(tables: Tables, t: Thresholds = DEFAULT, monitored: Sequenc
     out = []
     for table in dict.fromkeys(n for n, _ in monitored):
         fields = [c for n, c in monitored if n == table and c in tables[table].columns]
+        # One pass and one plan a table: a row for each of its fields.
         worst = worst_month(monthly_blanks(tables[table], table, fields), t.null_rate_floor, t, by=["field"])
-        for c in fields:
-            out.append(_anomaly(worst.filter(F.col("field") == c), f"null_rate_drift__{table}__{c}", "statistical", table, c, F.col("blanks"), t, "A field that goes blank moves its rows to another bucket."))
+        name = F.concat(F.lit(f"null_rate_drift__{table}__"), F.col("field"))
+        out.append(_anomaly(worst, name, "statistical", table, F.col("field"), F.col("blanks"), t, "A field that goes blank moves its rows to another bucket."))
     return out
 
 
