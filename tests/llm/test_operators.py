@@ -90,6 +90,22 @@ def test_near_duplicates_of_a_large_chain(spark):
     assert {r.component for r in got.collect()} == {0}
 
 
+def test_recall_at_a_larger_size(spark):
+    """The links of every document whose id is divisible by 50, against all documents, by brute force on full sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    component = {r.id: r.component for r in near_dedup.near_duplicates(spark, docs, 5).collect()}
+    rows = docs.collect()
+    ids = np.array([r.doc_id for r in rows])
+    sets = [np.array(sorted({hash(x) for x in shingles(r.text, 5)}), np.int64) for r in rows]
+    sizes, links, found = np.array([len(s) for s in sets]), 0, 0
+    for q in np.flatnonzero((ids % 50 == 0) & (sizes > 0)).tolist():
+        for j in np.flatnonzero((np.minimum(sizes, sizes[q]) * 100 >= 80 * np.maximum(sizes, sizes[q])) & (ids != ids[q])).tolist():
+            shared = len(np.intersect1d(sets[q], sets[j], assume_unique=True))
+            if shared * 100 >= 80 * (sizes[q] + sizes[j] - shared):
+                links, found = links + 1, found + (component[ids[q]] == component[ids[j]])
+    assert links > 20 and found >= 0.99 * links
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(7, 7)]
