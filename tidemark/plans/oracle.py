@@ -192,6 +192,18 @@ _add(
 )
 _add("missing_bucket", "SELECT CASE WHEN merchant_category IS NULL OR trim(merchant_category) = '' THEN '__missing__' ELSE merchant_category END AS merchant_category, count(*) AS rows, CAST(sum(is_disputed) AS BIGINT) AS disputed FROM transactions GROUP BY 1")
 
+_leaf = "CASE WHEN channel = '1-URGENT' AND fico_band = '<=660' THEN 'channel == 1-URGENT AND fico_band == <=660' WHEN channel = '1-URGENT' THEN 'channel == 1-URGENT AND fico_band != <=660' ELSE 'channel != 1-URGENT' END"
+_add(
+    "leaf_summary",
+    """SELECT rule, CAST(CASE WHEN rule LIKE '%AND%' THEN 2 ELSE 1 END AS INT) AS depth, p AS purchases, d AS disputed, CAST(d AS DOUBLE) / p AS dispute_rate, CAST(d AS DOUBLE) / p / (CAST(sum(d) OVER () AS DOUBLE) / CAST(sum(p) OVER () AS DOUBLE)) AS lift_vs_overall,
+        CAST(p AS DOUBLE) / CAST(sum(p) OVER () AS DOUBLE) AS share_of_purchases FROM leaves""",
+    _FACTS,
+    f"leaves AS (SELECT {_leaf} AS rule, count(*) AS p, CAST(sum(is_disputed) AS BIGINT) AS d FROM facts WHERE month = '{Q.NOW}' GROUP BY 1)",
+)
+_add("csv_round_trip", "SELECT transaction_id, transaction_date, posted_date, coalesce(merchant_category, '') AS merchant_category, transaction_amount, is_disputed FROM transactions")
+_add("parquet_round_trip", f"SELECT month, channel, count(*) AS rows, CAST(sum(is_disputed) AS BIGINT) AS disputed FROM transactions WHERE month IN ('{Q.NOW}', '{Q.BEFORE}') GROUP BY 1, 2")
+_add("aliased_views", "SELECT month, count(DISTINCT account_id) AS active FROM snapshots WHERE active_flag = 1 GROUP BY 1")
+
 # --- quality -----------------------------------------------------------------------
 
 _REQUIRED = ("transaction_id", "account_id", "merchant_category", "channel", "transaction_amount")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import exprs as X
 from tidemark.operators import actions, dedup, drivers, evidence, metrics, periods, quality, sqlviews, themes
 from tidemark.plans.report import settled
-from tidemark.sources import roles, synthetic
+from tidemark.sources import roles, synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,6 +230,43 @@ def tree_rules(spark, sf_dir):
     return drivers.tree_rules(drivers.purchase_facts(roles.tables(spark, sf_dir)), NOW, min_leaf=20)
 
 
+LEAVES = [[("channel", "==", "1-URGENT"), ("fico_band", "==", "<=660")], [("channel", "==", "1-URGENT"), ("fico_band", "!=", "<=660")], [("channel", "!=", "1-URGENT")]]
+
+
+@query
+def leaf_summary(spark, sf_dir):
+    return drivers.leaf_summary(drivers.purchase_facts(roles.tables(spark, sf_dir)).filter(F.col("month") == NOW), LEAVES)
+
+
+# --- sources and sinks -------------------------------------------------------------
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV by all tasks, found where there is no Parquet, read with the declared schema, dates parsed."""
+    rows, where = roles.transactions(spark, sf_dir), tables.scratch(spark, "csv")
+    tables.write_csv(rows, f"{where}/transactions.csv")
+    back = tables.load_tables(spark, where, ["transactions"], {"transactions": rows.schema})["transactions"]
+    return back.select("transaction_id", "transaction_date", "posted_date", F.coalesce("merchant_category", F.lit("")).alias("merchant_category"), "transaction_amount", "is_disputed")
+
+
+@query
+def parquet_round_trip(spark, sf_dir):
+    """Written as Parquet by month, found before CSV; only the months asked for are read."""
+    rows, where = roles.transactions(spark, sf_dir), tables.scratch(spark, "parquet")
+    tables.write_parquet(rows.withColumn("month", X.month_of(F.col("transaction_date"))), f"{where}/transactions.parquet", ["month"])
+    back = tables.resolve(spark, None, where, ["transactions"])["transactions"].filter(F.col("month").cast("string").isin(NOW, BEFORE))
+    return back.groupBy(F.col("month").cast("string").alias("month"), "channel").agg(F.count("*").alias("rows"), F.sum("is_disputed").alias("disputed"))
+
+
+@query
+def aliased_views(spark, sf_dir):
+    """Tables under their old names, handed to SQL under their own."""
+    tables.register({"snapshots": roles.snapshots(spark, sf_dir)})
+    tables.run_script(spark, "CREATE OR REPLACE TEMPORARY VIEW active_by_month AS SELECT snapshot_month AS month, count(DISTINCT account_id) AS active FROM account_monthly_snapshot WHERE active_flag = 1 GROUP BY 1;")
+    return spark.table("active_by_month")
+
+
 # --- quality -----------------------------------------------------------------------
 
 

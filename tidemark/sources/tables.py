@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -34,17 +36,17 @@ def read_table(spark: SparkSession, data_dir: str, name: str, schema: T.StructTy
     return df.withColumns(dates) if dates else df
 
 
-def load_tables(spark: SparkSession, data_dir: str, names: Sequence[str] = tuple(TABLES)) -> dict[str, DataFrame]:
-    return {n: read_table(spark, data_dir, n) for n in names}
+def load_tables(spark: SparkSession, data_dir: str, names: Sequence[str] = tuple(TABLES), schemas: Mapping[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    return {n: read_table(spark, data_dir, n, (schemas or {}).get(n)) for n in names}
 
 
-def resolve(spark: SparkSession, tables: Tables | None, data_dir: str | None) -> dict[str, DataFrame]:
+def resolve(spark: SparkSession, tables: Tables | None, data_dir: str | None, names: Sequence[str] = tuple(TABLES)) -> dict[str, DataFrame]:
     """Tables handed in, or else those of data_dir."""
     if tables is not None:
         return canonical(tables)
     if data_dir is None:
         raise ValueError("give tables or data_dir")
-    return load_tables(spark, data_dir)
+    return load_tables(spark, data_dir, names)
 
 
 def register(tables: Tables) -> None:
@@ -69,6 +71,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of its own below spark.checkpoint.dir, which all executors see; a temporary one where a single process runs everything."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text file on whatever file system the path names."""
     jvm = spark.sparkContext._jvm
