@@ -164,12 +164,12 @@ _add("interaction_heatmap", f"SELECT segment_a_value, {_cells} FROM ({_PAIRS}) G
 _GENERIC = ("merchant_category", "channel", "product_type", "fico_band", "region")
 
 
-def _generic_rows(now, before) -> tuple[str, ...]:
+def _generic_rows(now, before, flag: str = "is_fraud_claim", fields: tuple[str, ...] = _GENERIC) -> tuple[str, ...]:
     inside = sorted({*now, *before})
     part = lambda months, v: f"CAST(coalesce(sum({v}) FILTER (month IN ({_list(months)})), 0) AS DOUBLE)"
     return (
-        f"cut AS (SELECT f.month, f.is_fraud_claim, unnest([{_list(_GENERIC)}]) AS segment_name, unnest([{', '.join(_GENERIC)}]) AS segment_value FROM flagged f LEFT JOIN accounts USING (account_id) WHERE kept AND transaction_type = 'purchase' AND f.month IN ({_list(inside)}))",
-        f"moved AS (SELECT segment_name, segment_value, {part(before, 'is_fraud_claim')} AS pn, {part(now, 'is_fraud_claim')} AS cn, {part(before, '1')} AS pd, {part(now, '1')} AS cd FROM cut GROUP BY 1, 2)",
+        f"cut AS (SELECT f.month, f.{flag}, unnest([{_list(fields)}]) AS segment_name, unnest([{', '.join(fields)}]) AS segment_value FROM flagged f LEFT JOIN accounts USING (account_id) WHERE kept AND transaction_type = 'purchase' AND f.month IN ({_list(inside)}))",
+        f"moved AS (SELECT segment_name, segment_value, {part(before, flag)} AS pn, {part(now, flag)} AS cn, {part(before, '1')} AS pd, {part(now, '1')} AS cd FROM cut GROUP BY 1, 2)",
     )
 
 
@@ -382,3 +382,25 @@ _CHECKS = [
     _row("metric_governance_completeness", "governance", "metric_definitions", ", ".join(quality.GOVERNED), "SELECT 0 AS n, 'pass' AS status", "medium"),
 ]
 _add("quality_report", "SELECT *, CAST(affected_rows AS BIGINT) AS affected_rows, md5(check_name || '|' || status) AS finding FROM (".replace("SELECT *,", "SELECT * EXCLUDE (affected_rows),") + " UNION ALL ".join(f"({c})" for c in _CHECKS) + ")")
+
+
+# --- what the plan rests on ---------------------------------------------------------------------------------------
+
+_PLAIN_THEMES = tuple(x.replace("CASE WHEN coalesce(similarity, 0) >= CAST(0.02 AS DOUBLE) THEN theme ELSE 'unclear_or_other' END AS theme_name", "coalesce(theme, 'unclear_or_other') AS theme_name") for x in _THEMED)
+_RISE = "ORDER BY complaint_change DESC, share_change DESC NULLS LAST, avg_similarity DESC NULLS LAST, theme_name LIMIT 1"
+_add(
+    "scorecard",
+    """SELECT signal, round(score, 9) AS score, weight, round(score * weight, 9) AS weighted_score FROM (
+        SELECT 'Corrected KPI movement' AS signal, CASE WHEN change >= CAST(0.05 AS DOUBLE) THEN 1.0::DOUBLE WHEN change > 0 THEN 0.55::DOUBLE ELSE 0 END AS score, 0.3::DOUBLE AS weight FROM moves
+        UNION ALL SELECT 'Driver concentration', least(1, greatest(0, coalesce((SELECT contribution_share_of_positive_change FROM lead_driver), 0)) / 0.5::DOUBLE), 0.3::DOUBLE
+        UNION ALL SELECT 'Quality readiness', CASE WHEN count(*) = 0 THEN 1 ELSE greatest(0.25::DOUBLE, 1 - 0.2::DOUBLE * least(3, count(*) FILTER (regexp_matches(check_name, 'duplicate|referential|completeness|drift', 'i')))) END, 0.2::DOUBLE FROM checks WHERE status IN ('fail', 'warn')
+        UNION ALL SELECT 'Customer text support', coalesce((SELECT least(1, 0.35::DOUBLE + coalesce(avg_similarity, 0)) FROM lead_theme), 0), 0.2::DOUBLE)""",
+    _DISPUTES,
+    f"moves AS (SELECT (c.cn / c.cd - p.cn / p.cd) / nullif(p.cn / p.cd, 0) AS change FROM monthly c, monthly p WHERE c.month = '{Q.NOW}' AND p.month = '{Q.BEFORE}')",
+    *_generic_rows([Q.NOW], [Q.BEFORE], "is_disputed", ("merchant_category", "channel", "customer_segment", "product_type", "fico_band", "region")),
+    f"lead_driver AS (SELECT * FROM ({_generic()}) WHERE numerator_change > 0 AND NOT min_denominator_flag ORDER BY numerator_change DESC, absolute_change DESC NULLS LAST, contribution_share_of_positive_change DESC, segment_name, segment_value LIMIT 1)",
+    f"checks AS ({' UNION ALL '.join(f'({c})' for c in _CHECKS)})",
+    *_PLAIN_THEMES,
+    f"recent AS (SELECT * FROM labelled WHERE month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}'))",
+    f"lead_theme AS (SELECT * FROM ({_theme_counts('theme_name', f'SELECT * FROM {_THEMES}', '')}) WHERE complaint_change > 0 {_RISE})",
+)

@@ -466,7 +466,7 @@ def _plan(spark, sf_dir):
 
 @query
 def scorecard(spark, sf_dir):
-    return _plan(spark, sf_dir)[-1].scorecard
+    return _rounded(_plan(spark, sf_dir)[-1].scorecard.drop("evidence"), "score", "weighted_score")
 
 
 @query
