@@ -28,7 +28,7 @@ STORE = {
     f"{STATE}.rocksdb.allowFAllocate": "false",  # many small stores: no megabytes set aside for each one's logs
     f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true",
 }
-SLICES = 3
+SLICES = 2
 FEW = 1_000_000  # locators that may be broadcast: 40 MB
 
 

@@ -9,10 +9,12 @@ frequency, rarest first, without the last MATCHES - 1. Posts carry the signature
 collisions are counted where two posts of a list meet, and pairs below MATCHES, or of sizes that can't reach the
 threshold, go no further. What stays is confirmed on the full sets, which are made anew from the texts.
 
-No list is expanded into all its pairs. In each round one leader a list is compared with the members outside its
-component; components then merge. Lists within one component are skipped; after the rounds, only members of different
-components that still share a list are compared. So every pair of posts in a list is either compared or known to be
-connected, and components are exact over the candidates.
+No list is expanded into its pairs. First a few leaders of each list are compared with its members; components merge, and lists
+within one component are skipped. A list may still have members outside its commonest component.
+These are dealt into blocks of bounded size, and the members of their lists that collide with one
+of a block often enough are compared with the whole block at once, through an index of its shingles. So every pair of posts
+in a list is either compared or known to be connected, and components are exact over the candidates. A text travels once for
+each block that it is compared with.
 
 Null or blank text: empty set, linked with nothing. Rows that repeat an identifier are documents of their own; a class or
 component that they name is one. A null identifier links with nothing. Ties go to the smaller identifier. An empty table
@@ -33,8 +35,9 @@ from tidemark.llm import words
 from tidemark.llm.components import components
 from tidemark.llm.runtime import cut, ship
 
-COORDS, MATCHES, ROUNDS = 32, 14, 2
+COORDS, MATCHES, LEADERS = 32, 14, 3
 FEW = 1_000_000  # identifiers that may be broadcast: 40 MB
+SHINGLES, MEMBERS = 1 << 18, 1_024  # of a block, about
 _seeds = words.mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLY, ADD = _seeds[:COORDS] | np.uint64(1), _seeds[COORDS:]
 
@@ -98,10 +101,14 @@ def collisions(a: Column, b: Column) -> Column:
     return 16 - F.bit_count(y)
 
 
-def near(percent: int, matches: int, a: str, b: str) -> Column:
-    """Can these two sets reach the threshold, by their sizes and collisions?"""
-    size = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-    return size & (collisions(F.col(f"{a}.s1"), F.col(f"{b}.s1")) + collisions(F.col(f"{a}.s2"), F.col(f"{b}.s2")) >= matches)
+def near(percent: int, matches: int):
+    """Can two members (structs) reach the threshold, by their sizes and collisions?"""
+
+    def like(a: Column, b: Column) -> Column:
+        size = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
+        return size & (collisions(a["s1"], b["s1"]) + collisions(a["s2"], b["s2"]) >= matches)
+
+    return like
 
 
 def prefix_lists(reps: DataFrame, matches: int) -> DataFrame:
@@ -113,58 +120,106 @@ def prefix_lists(reps: DataFrame, matches: int) -> DataFrame:
     return ranked.join(reps.select("rep", "n", "s1", "s2"), "rep").select("rep", "n", "s1", "s2", prefix).select(F.col("p.key").alias("key"), "rep", "n", "s1", "s2")
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None, r: int) -> DataFrame:
-    """(key, m, l) for members m and leader l of lists with members in more than one component."""
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     own = lists.withColumn("component", F.col("rep")) if labels is None else lists.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    own = own.select("key", F.struct(*([F.xxhash64("rep", F.lit(r)).alias("turn")] if r else []), "rep", "n", "s1", "s2", "component").alias("m"))
-    heads = own.groupBy("key").agg(F.min("m").alias("l"), F.min("m.component").alias("low"), F.max("m.component").alias("high")).filter("low < high").select("key", "l")
-    return own.join(heads, "key")
-
-
-def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b), those whose full sets reach the threshold. A table of pairs (a, b) as it comes from disk."""
-    pairs = cut(pairs, "pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "d1", "d2"), "rep"), "wanted")
+    return own.select("key", "rep", "component", F.struct("rep", "component", "n", "s1", "s2").alias("m"))
+
+
+def _leaders(lists: DataFrame, number: int, like) -> DataFrame:
+    """(block, rep): a few leaders of each list, each chosen by another hash that all lists share, against the members they may be linked with."""
+    own = _labelled(lists, None)
+    turns = [F.min_by("m", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")) for r in range(number)]
+    heads = own.groupBy("key").agg(F.array_distinct(F.array(*turns)).alias("heads"), F.count("*").alias("k")).filter("k > 1").select("key", "heads")
+    met = F.filter("heads", lambda o: (o["rep"] != F.col("rep")) & like(F.col("m"), o))
+    pairs = own.join(heads, "key").select("rep", F.transform(met, lambda o: o["rep"]).alias("heads")).filter(F.size("heads") > 0)
+    return pairs.select(F.explode("heads").alias("block"), "rep").distinct()
+
+
+def _others(lists: DataFrame, labels: DataFrame | None, like) -> tuple[DataFrame, DataFrame]:
+    """What no leader has joined: (block, rep) of the members outside their list's commonest component, in blocks of bounded size; and
+    (block, rep) of all members that may be linked with some such member of that block."""
+    own = _labelled(lists, labels)
+    counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = counted.groupBy("key").agg(F.max(F.struct("c", F.negative("component").alias("least"))).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", "top.c", F.negative("top.least").alias("main"))
+    opened = cut(own.join(main, "key"), "open")
+    few = opened.filter("component <> main").groupBy("rep").agg(F.max(F.struct("c", "main"))["main"].alias("home"), F.max("m.n").alias("n"))  # that of the largest: one for a whole group
+    sizes = few.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / MEMBERS)).alias("blocks"))
+    blocks = cut(few.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block")), "blocks")
+    grouped = opened.filter("component <> main").join(blocks, "rep").groupBy("key", "block").agg(F.collect_list("m").alias("few"))
+    met = F.exists("few", lambda o: (o["component"] != F.col("component")) & like(F.col("m"), o))
+    return blocks, opened.select("key", "rep", "component", "m").join(grouped, "key").filter(met).select("block", "rep").distinct()
+
+
+def confirm(docs: DataFrame, reps: DataFrame, few: DataFrame, many: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) at the threshold, on full sets, between few and many of one block (both have block, rep): of those in a task a forest, which joins
+    all that they join. A block's many are dealt out by the size of their sets; its few, whose size is bounded, go to each part."""
+    facts = reps.select("rep", "n", "d1", "d2")
+    parts = many.join(facts, "rep").groupBy("block").agg(F.ceil(F.sum("n") / SHINGLES).alias("parts"))
+    here = many.join(parts, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep", F.lit(1).alias("side"))
+    there = few.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "rep", F.lit(0).alias("side"))
+    wanted = cut(many.select("rep").unionByName(few.select("rep")).distinct().join(facts.drop("n"), "rep"), "wanted")
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep"), "texts")
-    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("rep", "d1", "d2", "text")])
-    both = pairs.join(side("b"), F.col("b") == F.col("rep_b")).join(side("a"), F.col("a") == F.col("rep_a")).select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("d1", "d2", "text")])
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
+    rows = there.unionByName(here).join(texts, "rep").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "part").sortWithinPartitions("block", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _SetCache(k)
+        at, index = None, None
         for batch in batches:
-            a, b = (zip(*(batch.column(f"{c}_{x}") for c in ("d1", "d2", "text")), strict=True) for x in "ab")
-            found = []
-            for x, y in zip(map(sets.get, a), map(sets.get, b), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if x is not None and y is not None else 0
-                found.append(shared > 0 and shared * 100 >= (len(x) + len(y) - shared) * percent)
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-class _SetCache:
-    """Sets by digest, for texts that come in many pairs; at most MOST shingles are held."""
-
-    MOST = 4_000_000
-
-    def __init__(self, k: int):
-        self.k, self.held, self.size = k, {}, 0
-
-    def get(self, row) -> np.ndarray | None:
-        """The set with the digest asked for; None if the text is another document's (identifiers may repeat)."""
-        key = (row[0].as_py(), row[1].as_py())
-        s = self.held.get(key)
-        if s is None:
-            s = next(_sets(pa.array([row[2].as_py()], pa.string()), self.k))
-            if _digest(s) != key:
-                return None
-            if self.size > self.MOST:
-                self.held, self.size = {}, 0
-            self.held[key] = s
-            self.size += len(s)
-        return s
+            a, b = [], []
+            places = zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "rep", "d1", "d2")), strict=True)
+            for (block, part, side, rep, *digest), s in zip(places, _sets(batch.column("text"), k), strict=True):
+                if at != (block, part):
+                    at, index = (block, part), _Index(percent)
+                if _digest(s) != tuple(digest):
+                    continue  # identifiers may repeat: another document's text
+                if not side:
+                    index.add(rep, s)
+                else:
+                    for other in index.links(rep, s):
+                        a.append(other)
+                        b.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+class _Index:
+    """Sets by their shingles, and what is joined so far."""
+
+    def __init__(self, percent: int):
+        self.percent, self.reps, self.sets, self.root, self.shingles = percent, [], [], {}, None
+
+    def add(self, rep: int, s: np.ndarray) -> None:
+        self.reps.append(rep)
+        self.sets.append(s)
+
+    def _find(self, x: int) -> int:
+        root = self.root.setdefault(x, x)
+        while root != self.root[root]:
+            self.root[root] = self.root[self.root[root]]
+            root = self.root[root]
+        self.root[x] = root
+        return root
+
+    def links(self, rep: int, s: np.ndarray) -> Iterator[int]:
+        """The members that rep is linked with and not joined with yet."""
+        if self.shingles is None:
+            self.sizes = np.array([len(x) for x in self.sets], np.int64)
+            owners = np.repeat(np.arange(len(self.sets)), self.sizes)
+            every = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+            order = np.argsort(every, kind="stable")
+            self.shingles, self.owners, self.sets = every[order], owners[order], []
+        first, last = np.searchsorted(self.shingles, s, "left"), np.searchsorted(self.shingles, s, "right")
+        n = last - first
+        places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owners[places], minlength=len(self.sizes))
+        near = np.flatnonzero((shared > 0) & (shared * 100 >= (self.sizes + len(s) - shared) * self.percent))
+        for other in (self.reps[i] for i in near.tolist()):
+            x, y = self._find(other), self._find(rep)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                yield other
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -192,7 +247,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     matches: int = MATCHES,
-    rounds: int = ROUNDS,
+    leaders: int = LEADERS,
 ) -> DataFrame:
     """One row per row of docs: id (long), text_hash, n (set size), component (smallest id reachable), kept (id = component)."""
     ship(spark)
@@ -200,14 +255,11 @@ def near_duplicates(
     classes = feats.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "s1", "s2", "signature")).alias("s"))
     reps = cut(classes.select("d1", "d2", F.col("s.id").alias("rep"), "s.n", "s.s1", "s.s2", "s.signature"), "classes")
     lists = cut(prefix_lists(reps, matches), "lists")
-    sure = lambda pairs: confirm(docs, reps, pairs.distinct(), k, percent, id_col, text_col)
-    labels = None
-    for r in range(rounds):
-        led = _open_lists(lists, labels, r).filter((F.col("m.component") != F.col("l.component")) & near(percent, matches, "m", "l"))
-        labels = _merged(labels, sure(led.select(F.col("l.rep").alias("a"), F.col("m.rep").alias("b"))))
-    rest = _open_lists(lists, labels, 0).drop("l")
-    pair = (F.col("x.m.component") < F.col("y.m.component")) & (F.col("x.key") == F.col("y.key")) & near(percent, matches, "x.m", "y.m")
-    labels = _merged(labels, sure(rest.alias("x").join(rest.alias("y"), pair).select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b"))))
+    like = near(percent, matches)
+    led = cut(_leaders(lists, leaders, like), "led")
+    labels = _merged(None, confirm(docs, reps, led.select("block", F.col("block").alias("rep")).distinct(), led, k, percent, id_col, text_col))
+    few, many = _others(lists, labels, like)
+    labels = _merged(labels, confirm(docs, reps, few, cut(many, "many"), k, percent, id_col, text_col))
     member = feats.drop("signature").join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     member = member.join(labels, "rep", "left") if labels is not None else member.withColumn("component", F.col("rep"))
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
