@@ -423,6 +423,22 @@ def test_quality_chunks_cover_the_text():
     assert np.concatenate([last[:-1, :step].ravel(), last[-1][last[-1] != quality.PAD]]).tolist() == buf[513:].tolist()
 
 
+def test_pieces_equal_the_library(monkeypatch):
+    """Any mix of Latin-1, other scripts, marks that compose, white space of all kinds and added tokens; caches of any size."""
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    with open(path) as f:
+        cache, library = token_table.PieceCache(f.read()), Tokenizer.from_file(path)
+    assert cache.known
+    odd = ["'s", "'LL", " ", "\n", "\x1c", "\x85", "\xa0", "é", "É", "ß", "²", "½", "ª", "<|endoftext|>", "—", "’", "日本", "e\u0301", "\u0301", " \u0308", "İ", "Σ", "ΑΣ", "A", "b", "123", "!!", "'", "x" * 300, "\r\n", "\u2003", "\u200b", "\x00", "😀", "ﬁ", "ſ", "\u00ad", "µ", "×"]
+    made = ["".join(r.choice(odd) for _ in range(r.randint(0, 25))) for _ in range(2000)]
+    made += ["".join(chr(r.choice([r.randint(0, 255), r.randint(0, 0x2FFF)])) for _ in range(r.randint(0, 12))) for _ in range(2000)]
+    monkeypatch.setattr(token_table, "CACHE_BYTES", 20_000)
+    for some in token_table.portions(made, 3000):
+        for t, got in zip(made[some], cache.encode(made[some], 2), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+        assert cache.size <= 20_000
+
+
 def test_token_table(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
