@@ -206,6 +206,8 @@ def test_whole_run(spark, tmp_path):
     assert r.explanation.validation.status == "pass"
     paths = report.write(spark, r, f"{tmp_path}/out")
     assert len(paths) >= 18
+    r.release()
+    assert not r.drivers.facts.is_cached and r.drivers.segments.count() > 0
     write_csv(r.kpi.trend, f"{tmp_path}/again")
     told = synthetic.ground_truth_report(t, "2026-08", {"fee": r"\bfee", "app": r"\bapp\b"})
     assert told.startswith("# What was planted") and "| 2026-08 |" in told and "| fee |" in told and "Words since 2026-07" in told

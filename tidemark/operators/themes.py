@@ -262,6 +262,10 @@ class ThemeReport:
     by_segment: DataFrame
     representatives: DataFrame
 
+    def release(self) -> None:
+        """Let go of the labelled texts that these tables are computed from; they can still be read, from the start."""
+        self.labelled.unpersist()
+
 
 def report(tables: Tables, current: str | None = None, previous: str | None = None, taxonomy: Taxonomy = TAXONOMY, embedder: Embedder | None = None, min_similarity: float | None = None) -> ThemeReport:
     labelled = assign(facts(tables), taxonomy, min_similarity, resolve_embedder(embedder)).cache()  # vectors once
