@@ -252,12 +252,14 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     ship(spark)
     data = spark.sparkContext.broadcast(pickle.dumps(Model(labelled_sample(docs, id_col, text_col, lang_col))))
     row = F.struct(*map(named, carry)) if carry else F.lit(None).cast("struct<none:boolean>")
-    source = docs.select(named(id_col).alias("id"), held_out(named(id_col)).alias("held_out"), named(text_col).alias("text"), row.alias("row"))
+    text = [] if text_col in carry else [named(text_col).alias("text")]  # a text that is carried along travels once
+    source = docs.select(named(id_col).alias("id"), held_out(named(id_col)).alias("held_out"), row.alias("row"), *text)
+    place = list(carry).index(text_col) if text_col in carry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data.value)
         for batch in batches:
-            for i, j, buf, offs in slices(batch.column("text")):
+            for i, j, buf, offs in slices(batch.column("text") if place is None else batch.column("row").flatten()[place]):
                 langs, scores = model.judge(buf, offs)
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([own.column("id"), own.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), own.column("row")], ["id", "held_out", "lang_pred", "score", "row"])
