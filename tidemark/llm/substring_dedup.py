@@ -2,35 +2,42 @@
 
 A suffix starts at each word. What decides is whether its first LENGTH words start anywhere else: that is whether it lies
 below an internal node of the suffix tree at depth LENGTH or more. The tree is never held whole. Its suffixes are split by
-prefixes of varying length into groups of bounded size:
+prefixes of varying length until each group fits into memory:
 
 1. Every run of LENGTH words holds a run of SHORT words with the least digest among its own, at the same place wherever the
-   passage stands. Only these sampled short prefixes (two in thirty) are dealt out and counted. Suffixes whose prefix is alone
-   have no sibling and drop out here; no repeat is lost.
-2. Groups of at most GROUP occurrences get their subtree: for each occurrence the words that its suffixes need are sent once,
-   as text, the suffixes are sorted, and neighbours that share LENGTH words lie below one deep internal node.
-3. In larger groups the prefix grows to the full depth at once. A node is then a pair of 64-bit digests, of the short prefix
-   and of all LENGTH words, and nodes are counted with partial sums: a passage in a third of all rows is a row a task.
-
-Repeated suffixes that follow one another are one maximal repeat. Words are taken unchanged; null text has none. Rows that
-repeat an identifier count as documents of their own (told apart by their text; identical rows repeat each other). An empty
-table gives an empty result. Other columns are not read.
+   passage stands. Only these sampled prefixes (two in thirty) are dealt out and counted. Suffixes whose prefix is alone
+   have no sibling and drop out here; no repeat is lost. What stays is an occurrence: the words of up to LENGTH - SHORT + 1
+   suffixes that the prefix stands for, sent once.
+2. A group of at most GROUP occurrences gets its subtree: the suffixes are sorted, and neighbours that share LENGTH words lie
+   below one deep internal node.
+3. In a larger group, occurrences with the same words are repeats of each other with all their suffixes; of each such text one
+   goes on as a witness. The rest grows its prefix: its suffixes are split by their distance from the sampled place into
+   halves, and each half takes all the words that its suffixes have in common as its new, longer prefix. New groups go to step
+   2 or 3, until the prefix has all LENGTH words and a group is one node. Equal texts are counted with partial sums, so a
+   passage in a third of all rows is a row a task.
+
+Digests only deal out; words are compared as bytes wherever a repeat is decided. Repeats travel as runs of suffixes. Words are
+taken unchanged; null text has none. Rows that repeat an identifier count as documents of their own (told apart by their text;
+identical rows repeat each other). An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.runtime import ship
+from tidemark.llm.runtime import cut, ship
 
 LENGTH, SHORT, GROUP = 35, 8, 4_096
+FEW = 4_000_000  # places that may be broadcast: some 50 MB
 
 
 def sampled(short: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,50 +76,88 @@ def _prefixes(length: int, short: int):
 
 
 def _occurrences(length: int, short: int):
-    """For each shared prefix the suffixes that it stands for: prefix, id, th, start (of the first), n (their number), words."""
+    """For each place the suffixes that its prefix stands for: prefix, id, th, start (of the first), top (words from there to the place), n (their
+    number), words (each with a space after it), witness (false)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = batch.column("small")
-            rows, keys, first, number, passages = [], [], [], [], []
+            wanted = batch.column("places")
+            rows, keys, first, top, number, passages = [], [], [], [], [], []
             for i, _, buf, offs in words.slices(batch.column("text")):
                 starts, ends, at = words.find(buf, offs)
                 h = words.hashes(buf, starts, ends)
                 data = buf.tobytes()
                 for row, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False), i):
-                    wanted = shared[row].values.to_numpy() if shared[row].is_valid else ()
-                    if not len(wanted):
-                        continue
                     s = words.windows(h[a:b], short)
                     least, places = sampled(s, length - short + 1)
                     begin = np.searchsorted(least, places)  # places only grow with the window's start
                     count = np.diff(np.append(begin, len(least)))
-                    for k in np.flatnonzero(np.isin(places, wanted)).tolist():
+                    for k in np.flatnonzero(np.isin(places, wanted[row].values.to_numpy())).tolist():
                         x, n = int(begin[k]), int(count[k])
                         rows.append(row)
                         keys.append(s[places[k]])
                         first.append(x)
+                        top.append(int(places[k]) - x)
                         number.append(n)
-                        passages.append(b" ".join([data[p:q] for p, q in zip(starts[a + x : a + x + n + length - 1].tolist(), ends[a + x : a + x + n + length - 1].tolist(), strict=True)]))
+                        span = slice(a + x, a + x + n + length - 1)
+                        passages.append(b" ".join([*(data[p:q] for p, q in zip(starts[span].tolist(), ends[span].tolist(), strict=True)), b""]))
             if rows:
                 take = pa.array(rows)
+                numbers = [pa.array(x, pa.int32()) for x in (first, top, number)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column("id").take(take), batch.column("th").take(take), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(passages, pa.binary())], ["prefix", "id", "th", "start", "n", "words"]
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column("id").take(take), batch.column("th").take(take), *numbers, pa.array(passages, pa.binary()), pa.array(np.zeros(len(rows), bool))], ["prefix", "id", "th", "start", "top", "n", "words", "witness"]
                 )
 
     return run
 
 
+def halves(passage: bytes, top: int, n: int, length: int, short: int, shift: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(suffixes before, top, n, words, prefix) of the parts of an occurrence whose distances from the sampled place agree but for their last `shift` bits."""
+    w = passage.split(b" ")
+    high = top
+    while high > top - n:
+        least = high >> shift << shift
+        low, most = max(least, top - n + 1), min(least + (1 << shift) - 1, length - short)
+        before, size = top - high, high - low + 1
+        shared = b" ".join(w[top - least : top - most + length])  # what all suffixes at distances least to most have in common
+        yield before, high, size, b" ".join([*w[before : before + size + length - 1], b""]), b"%d %d %s" % (shift, least, shared)
+        high = low - 1
+
+
+def _grown(length: int, short: int, shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, tops, sizes, passages, keys = [], [], [], [], [], []
+            fields = (batch.column(c).to_pylist() for c in ("words", "start", "top", "n"))
+            for row, (passage, start, top, n) in enumerate(zip(*fields, strict=True)):
+                for before, high, size, part, prefix in halves(passage, top, n, length, short, shift):
+                    rows.append(row)
+                    starts.append(start + before)
+                    tops.append(high)
+                    sizes.append(size)
+                    passages.append(part)
+                    keys.append(xxhash.xxh3_64_intdigest(prefix) - (1 << 63))
+            take = pa.array(rows, pa.int64())
+            numbers = [pa.array(x, pa.int32()) for x in (starts, tops, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(batch.column(c).take(take) for c in ("id", "th")), *numbers, pa.array(passages, pa.binary()), batch.column("witness").take(take)], ["prefix", "id", "th", "start", "top", "n", "words", "witness"])
+
+    return run
+
+
 def deep(table: pa.RecordBatch, length: int) -> pa.Array:
     """For each occurrence, a bit for each of its suffixes: is it below a node of depth `length`? Groups are whole."""
-    passages = table.column("words")
-    found = [(h, w) for _, h, w in _words_of(passages)]
-    _, symbols = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)  # digests become ranks: four bytes, none confused
-    ends = np.cumsum([w for _, w in found])
+    passages = table.column("words").cast(pa.large_binary())
+    _, offs, data = passages.buffers()
+    offs = np.frombuffer(offs, np.int64)[passages.offset : passages.offset + len(passages) + 1]
+    data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
+    ends = np.concatenate(([0], np.flatnonzero(data == 0x20) + 1))  # a space ends each word
+    each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    symbols = each.dictionary_encode().indices.to_numpy()
     n = table.column("n").to_numpy()
+    first = np.concatenate(([0], np.cumsum(n + length - 1)))[:-1]
     owner = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    at = (np.concatenate(([0], ends[:-1])))[owner] + nth
+    at = first[owner] + nth
     suffixes = np.empty((len(owner), length + 2), ">u4")
     suffixes[:, :2] = table.column("prefix").to_numpy()[owner].astype(">i8").view(">u4").reshape(-1, 2)
     suffixes[:, 2:] = symbols[at[:, None] + np.arange(length)]
@@ -127,16 +172,6 @@ def deep(table: pa.RecordBatch, length: int) -> pa.Array:
     return pa.array(masks)
 
 
-def _words_of(passages: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
-    row = 0
-    for _, _, buf, offs in words.slices(passages):
-        starts, ends, at = words.find(buf, offs)
-        h = words.hashes(buf, starts, ends)
-        for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
-            yield row, h[a:b], b - a
-            row += 1
-
-
 def _subtrees(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -144,7 +179,7 @@ def _subtrees(length: int):
         def judged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             if rows.num_rows:
                 masks = deep(rows, length)
-                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("th"), rows.column("start"), masks], ["id", "th", "at", "mask"]).filter(pc.greater(masks, 0))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("th"), rows.column("start"), masks], ["id", "th", "at", "mask"]).filter(pc.and_(pc.greater(masks, 0), pc.invert(rows.column("witness"))))
 
         for batch in batches:
             for i in range(0, batch.num_rows, GROUP):
@@ -163,34 +198,6 @@ def _subtrees(length: int):
     return run
 
 
-def _suffixes(length: int, short: int):
-    """Suffixes of prefixes that occur too often for one group: prefix, node (digest of all their words), id, th, at."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = batch.column("large")
-            rows, keys, nodes, places = [], [], [], []
-            for row, h in _texts(batch):
-                if not shared[row].is_valid or not len(shared[row].values):
-                    continue
-                s = words.windows(h, short)
-                least, _ = sampled(s, length - short + 1)
-                at = np.flatnonzero(np.isin(least, shared[row].values.to_numpy()))
-                path = np.full(len(at), length, np.uint64)
-                for j in range(length):
-                    path = path * words.WORD_BASE + h[at + j]
-                rows.append(np.full(len(at), row))
-                keys.append(s[least[at]] + (least[at] - at).astype(np.uint64))
-                nodes.append(words.mix(path))
-                places.append(at)
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                node = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes)]
-                yield pa.RecordBatch.from_arrays([*node, batch.column("id").take(take), batch.column("th").take(take), pa.array(np.concatenate(places), pa.int32())], ["prefix", "node", "id", "th", "at"])
-
-    return run
-
-
 def _strip(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,18 +236,40 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, s
     kind = rows.schema["id"].dataType.simpleString()
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
     prefixes = rows.mapInArrow(_prefixes(length, short), f"prefix long, id {kind}, th int, at int")
-    siblings = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    siblings = cut(prefixes.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1"), "siblings")  # read anew, the join can split a hot prefix
     places = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("at"))))
-    shared = prefixes.join(siblings, "prefix").groupBy("id", "th").agg(places(F.col("n") <= group).alias("small"), places(F.col("n") > group).alias("large"))
-    candidates = rows.join(shared, same(rows, shared)).select(rows["id"], rows["th"], "text", "small", "large")
-    # Small groups: sorted by prefix, each whole in one task, one group after the other.
-    occurrences = candidates.mapInArrow(_occurrences(length, short), f"prefix long, id {kind}, th int, start int, n int, words binary")
-    dealt = occurrences.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "prefix").sortWithinPartitions("prefix")
+    shared = cut(prefixes.join(siblings, "prefix").groupBy("id", "th").agg(places(F.col("k") <= group).alias("small"), places(F.col("k") > group).alias("large")), "shared")
+    shape = f"prefix long, id {kind}, th int, start int, top int, n int, words binary, witness boolean"
+    held = lambda which: shared.filter(F.size(which) > 0).select("id", "th", F.col(which).alias("places"))
+    found_at = lambda there: rows.join(there, same(rows, there)).select(rows["id"], rows["th"], "text", "places").mapInArrow(_occurrences(length, short), shape)
+    fit, repeats, hot = found_at(held("small")), [], held("large")
+    if there := hot.agg(F.sum(F.size("places"))).first()[0]:
+        more, repeats = _split(cut(found_at(F.broadcast(hot) if there <= FEW else hot), "occurrences"), length, short, group, shape)
+        fit = fit.unionByName(more) if more is not None else fit
+    # Groups that fit: sorted by prefix, each whole in one task, one group after the other.
+    dealt = fit.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "prefix").sortWithinPartitions("prefix")
     below = dealt.mapInArrow(_subtrees(length), f"id {kind}, th int, at int, mask long")
-    # Large groups: the full path is the prefix.
-    suffixes = candidates.filter(F.size("large") > 0).mapInArrow(_suffixes(length, short), f"prefix long, node long, id {kind}, th int, at int")
-    nodes = suffixes.groupBy("prefix", "node").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", "node")
-    hot = suffixes.join(nodes, ["prefix", "node"]).select("id", "th", "at", F.lit(1).cast("long").alias("mask"))
-    repeats = below.unionByName(hot).groupBy("id", "th").agg(F.collect_set(F.struct("at", "mask")).alias("repeats"))
+    repeats = reduce(DataFrame.unionByName, repeats, below).groupBy("id", "th").agg(F.collect_set(F.struct("at", "mask")).alias("repeats"))
     marked = rows.join(repeats, same(rows, repeats), "left").select(rows["id"], "text", "repeats")
     return marked.mapInArrow(_strip(length), f"id {kind}, n_words long, n_removed long, kept_text string, removed array<int>")
+
+
+def _split(rows: DataFrame, length: int, short: int, group: int, shape: str) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Of occurrences in larger groups: those that fit after their prefixes have grown, and runs of suffixes (id, th, at, mask) that repeat."""
+    text, fit, found = ["prefix", "words", "top", "n"], None, []
+    for shift in range((length - short).bit_length(), -1, -1):
+        if rows.isEmpty():
+            break
+        texts = cut(rows.groupBy(*text).agg(F.count("*").alias("k"), F.max("witness").alias("witness"), F.min(F.struct("id", "th", "start")).alias("one")), "texts")
+        again = texts.filter("k > 1").select(*text)
+        found.append(cut(rows.filter("not witness").join(again, text).select("id", "th", F.col("start").alias("at"), F.expr("shiftleft(1L, n) - 1").alias("mask")), "runs"))
+        if not shift:
+            break
+        left = texts.select("prefix", "one.*", "top", "n", "words", (F.col("witness") | (F.col("k") > 1)).alias("witness"))
+        grown = cut(left.mapInArrow(_grown(length, short, shift - 1), shape), "grown")
+        sizes = cut(grown.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1"), "siblings")
+        sized = grown.join(sizes, "prefix")
+        small = sized.filter(F.col("k") <= group).drop("k")
+        fit = small if fit is None else fit.unionByName(small)
+        rows = cut(sized.filter(F.col("k") > group).drop("k"), "large")
+    return fit, found
