@@ -130,6 +130,7 @@ def _leaders(lists: DataFrame, number: int, like) -> DataFrame:
     own = _labelled(lists, None)
     turns = [F.min_by("m", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")) for r in range(number)]
     heads = own.groupBy("key").agg(F.array_distinct(F.array(*turns)).alias("heads"), F.count("*").alias("k")).filter("k > 1").select("key", "heads")
+    heads = cut(heads, "heads")  # read anew, the join can split a hot list
     met = F.filter("heads", lambda o: (o["rep"] != F.col("rep")) & like(F.col("m"), o))
     pairs = own.join(heads, "key").select("rep", F.transform(met, lambda o: o["rep"]).alias("heads")).filter(F.size("heads") > 0)
     return pairs.select(F.explode("heads").alias("block"), "rep").distinct()
@@ -140,12 +141,13 @@ def _others(lists: DataFrame, labels: DataFrame | None, like) -> tuple[DataFrame
     (block, rep) of all members that may be linked with some such member of that block."""
     own = _labelled(lists, labels)
     counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("key").agg(F.max(F.struct("c", F.negative("component").alias("least"))).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", "top.c", F.negative("top.least").alias("main"))
-    opened = cut(own.join(main, "key"), "open")
+    main = counted.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("component").alias("least"))).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", "top.c", F.bitwise_not("top.least").alias("main"))
+    opened = cut(own.join(cut(main, "main"), "key"), "open")
     few = opened.filter("component <> main").groupBy("rep").agg(F.max(F.struct("c", "main"))["main"].alias("home"), F.max("m.n").alias("n"))  # that of the largest: one for a whole group
     sizes = few.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / MEMBERS)).alias("blocks"))
     blocks = cut(few.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block")), "blocks")
     grouped = opened.filter("component <> main").join(blocks, "rep").groupBy("key", "block").agg(F.collect_list("m").alias("few"))
+    grouped = cut(grouped, "few")
     met = F.exists("few", lambda o: (o["component"] != F.col("component")) & like(F.col("m"), o))
     return blocks, opened.select("key", "rep", "component", "m").join(grouped, "key").filter(met).select("block", "rep").distinct()
 
