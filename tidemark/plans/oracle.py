@@ -185,7 +185,7 @@ _add(
     "complaint_rate_segments",
     _generic(" * 1000"),
     "cc AS (SELECT c.month, unnest(['product_type', 'customer_segment', 'fico_band', 'region']) AS segment_name, unnest([a.product_type, c.customer_segment, c.fico_band, a.region]) AS segment_value FROM complaints c LEFT JOIN accounts a USING (account_id))",
-    "aa AS (SELECT s.month, s.account_id, unnest(['product_type', 'customer_segment', 'fico_band', 'region']) AS segment_name, unnest([a.product_type, a.customer_segment, a.fico_band, a.region]) AS segment_value FROM snapshots s LEFT JOIN accounts a USING (account_id) WHERE active_flag = 1)",
+    "aa AS (SELECT s.month, s.account_id, unnest(['product_type', 'customer_segment', 'fico_band', 'region']) AS segment_name, unnest([a.product_type, a.customer_segment, a.fico_band, a.region]) AS segment_value FROM snapshots s LEFT JOIN accounts a USING (account_id) WHERE s.active_flag = 1)",
     f"""moved AS (SELECT segment_name, segment_value, CAST(coalesce(x.pn, 0) AS DOUBLE) AS pn, CAST(coalesce(x.cn, 0) AS DOUBLE) AS cn, CAST(coalesce(y.pd, 0) AS DOUBLE) AS pd, CAST(coalesce(y.cd, 0) AS DOUBLE) AS cd
         FROM (SELECT segment_name, segment_value, count(CASE WHEN month = '{Q.TEXT_BEFORE}' THEN 1 END) AS pn, count(CASE WHEN month = '{Q.TEXT_NOW}' THEN 1 END) AS cn FROM cc WHERE segment_value IS NOT NULL AND month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}') GROUP BY 1, 2) x
         FULL JOIN (SELECT segment_name, segment_value, count(DISTINCT account_id) FILTER (month = '{Q.TEXT_BEFORE}') AS pd, count(DISTINCT account_id) FILTER (month = '{Q.TEXT_NOW}') AS cd FROM aa WHERE segment_value IS NOT NULL AND month IN ('{Q.TEXT_BEFORE}', '{Q.TEXT_NOW}') GROUP BY 1, 2) y USING (segment_name, segment_value))""",
