@@ -453,6 +453,11 @@ def test_token_table(spark, docs, empty, tmp_path):
         found = [v.tolist() for s in shards for v in s.get(i)]
         assert encode(t) in found and len(found) == sum(j == i for j, _ in want)
     assert not any(s.get(10_000) for s in shards)
+    many = spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(400)] + [(None, "text 1")] * 3, "doc_id long, text string").repartition(5)
+    manifest = token_table.write_shards(spark, many, str(tmp_path / "m"), path, 2, partitions=4).cache()
+    again = sorted(token_table.read_shards(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.id for r in again] == [None] * 203 + [5] * 200 and manifest.count() > 2
+    assert Counter((r.id, tuple(r.ids)) for r in again) == Counter((r.doc_id, tuple(encode(r.text))) for r in many.collect())
     assert token_table.token_table(spark, empty, path, 2).count() == 0
 
 

@@ -12,7 +12,7 @@ reads the footer, asks the Bloom filter, finds the block by binary search and sc
 
 Keys: a byte (0 for null, 1 otherwise) and the identifier as eight big-endian bytes with the sign bit flipped, so that bytes
 sort as numbers do and null comes first. Values: ids as little-endian unsigned 32-bit numbers. A repeated identifier gives
-records that stand side by side, in the order of their texts. Shards are written under a name of the attempt and renamed, and
+records that stand side by side, in the order of their texts' digests. Shards are written under a name of the attempt and renamed, and
 the manifest names only shards whose task succeeded, so lost executors leave no half-written data behind in a result.
 
 Null text counts as empty: the end id alone. An empty table gives no shards and an empty result. Other columns are not read.
@@ -21,7 +21,9 @@ Null text counts as empty: the end id alone. An empty table gives no shards and
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import sys
 import uuid
@@ -41,7 +43,7 @@ from tidemark.llm.runtime import fresh_path, on_disk, ship
 
 MAGIC, FOOTER = b"TMSST001", struct.Struct("<QQQQQQ8s")
 RESTART, BLOCK_BYTES, SHARD_TOKENS, BITS, PROBES = 16, 256 << 10, 16 << 20, 10, 7
-CACHED = 250_000
+CACHE_BYTES, LONGEST, PORTION = 64 << 20, 256, 2 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -191,77 +193,106 @@ class Shard:
         return out
 
 
-class WordCache:
-    """The ids, as bytes, of what stands between spaces and line feeds.
+# How the tokenizer file must clean and cut texts for pieces to be encoded one by one.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same cut for lower-case Latin-1 text, and what it counts as letters, numbers and white space.
+LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its parts in a row. A part of
-    Latin-1 letters and a tail of TAIL is two pre-tokens, and its letters are put in lower case by the tokenizer anyway; so
-    parts are put together from stems and tails, and only stems not seen before go through the library.
-    """
 
-    TAIL = ".,;:!?"
+class PieceCache:
+    """The ids, as bytes, of what the tokenizer looks at one by one.
+
+    The tokenizer drops white space, never looks across it and encodes each match of its pattern on its own. Latin-1 text is in
+    composed form already, so its matches are found in lower case; other text is cut at spaces and line feeds only. What was not
+    seen before goes through the library, Latin-1 matches many at a time: the last token of each carries the end-of-word mark.
+    Text with one of the tokenizer's added tokens, or a tokenizer of another kind, is left to the library. Two generations of
+    at most CACHE_BYTES and one call's texts are held.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.old_stems: dict[str, bytes] = {}
-
-    def _split(self, part: str) -> tuple[str, str]:
-        stem = part.rstrip(self.TAIL)
-        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-            return stem.lower(), part[len(stem) :]
-        return part, ""
-
-    def _learn_stems(self, wanted: set[str]) -> None:
-        new = list(wanted.difference(self.stems))
-        if len(self.stems) + len(new) > CACHED:
-            self.old_stems, self.stems = self.stems, {}
-            new = list(wanted)
-        unknown = []
-        for s in new:
-            if (v := self.old_stems.get(s)) is not None:
-                self.stems[s] = v
-            else:
-                unknown.append(s)
-        for i in range(0, len(unknown), 4096):
-            some = unknown[i : i + 4096]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.stems[s] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.parts)
-        if len(self.parts) + len(new) > CACHED:
-            self.old_parts, self.parts = self.parts, {}
-            new = parts
-        unknown = []
-        for p in new:
-            if (v := self.old_parts.get(p)) is not None:
-                self.parts[p] = v
-            else:
-                unknown.append((p, *self._split(p)))
-        self._learn_stems({x for _, stem, tail in unknown for x in (stem, tail)})
-        for p, stem, tail in unknown:
-            self.parts[p] = self.stems[stem] + self.stems[tail]
+        made = json.loads(tokenizer_json)
+        cut = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern")
+        mark = made["model"].get("end_of_word_suffix")
+        self.known = bool(mark) and (made.get("normalizer") or {}).get("normalizers") == NORMAL and cut == {"Regex": SPLIT}
+        self.added = [x["content"] for x in made.get("added_tokens") or ()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.known:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+        self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.known or (self.added and any(x in text for x in self.added)):
+            return [text]
+        if _latin(text):
+            return LATIN.findall(text.lower())
+        parts = text.replace("\n", " ").split(" ")
+        return [x for p in parts for x in (LATIN.findall(p.lower()) if _latin(p) else (p,))]
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.held)
+        found = {x: v for x in new if (v := self.old.get(x)) is not None}
+        new.difference_update(found)
+        plain = [x for x in new if self.known and len(x) <= LONGEST and _latin(x) and LATIN.fullmatch(x)]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                found.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        rest = [x for x in new if x not in found]
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                found[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.held.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = list(map(self.pieces, texts))
         self._learn(set().union(*split))
-        get, end = self.parts.__getitem__, struct.pack("<I", end_id)
-        return [b"".join(map(get, s)) + end for s in split]
+        get, end = self.held.__getitem__, struct.pack("<I", end_id)
+        out = [b"".join(map(get, s)) + end for s in split]
+        if self.size > CACHE_BYTES:
+            self.old, self.held, self.size = self.held, {}, 0
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def portions(texts: list[str], most: int) -> Iterator[slice]:
+    """Runs of texts of about `most` characters; a longer text comes alone."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
-def word_cache(tokenizer_json: str) -> WordCache:
+def piece_cache(tokenizer_json: str) -> PieceCache:
     key = hashlib.sha256(tokenizer_json.encode()).digest()
-    held = sys.__dict__.setdefault("_tidemark_words", {})
+    held = sys.__dict__.setdefault("_tidemark_pieces", {})
     if key not in held:
-        held[key] = WordCache(tokenizer_json)
+        held[key] = PieceCache(tokenizer_json)
     return held[key]
 
 
@@ -273,10 +304,11 @@ def write_shards(spark: SparkSession, docs: DataFrame, out: str, tokenizer_path:
     out = on_disk(out)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    order = [F.col("id").asc_nulls_first(), "digest"]  # an identifier that many texts share is split over partitions
+    rows = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_cache(vocabulary.value)
+        words = piece_cache(vocabulary.value)
         fs, base = pafs.FileSystem.from_uri(out)
         fs.create_dir(base, recursive=True)
         writer, seq, name, part = None, 0, "", 0
@@ -290,10 +322,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, out: str, tokenizer_path:
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            for i in range(0, batch.num_rows, 512):
-                chunk = batch.slice(i, 512)
-                keys = [key_of(x) for x in chunk.column("id").to_pylist()]
-                for key, value in zip(keys, words.encode(chunk.column("text").to_pylist(), end_id), strict=True):
+            keys, texts = [key_of(x) for x in batch.column("id").to_pylist()], batch.column("text").to_pylist()
+            for some in portions(texts, PORTION):
+                for key, value in zip(keys[some], words.encode(texts[some], end_id), strict=True):
                     if writer is None:
                         name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}"
                         writer = Writer(fs.open_output_stream(f"{base}/{name}.tmp"))
