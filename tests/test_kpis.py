@@ -165,6 +165,19 @@ def test_text_operators_refuse_bad_arguments(spark):
         themes.assign(rows, {"a": ("x",)}, embedder=lambda texts: np.zeros((len(texts) + 1, 2)))
 
 
+def test_clusters_compute_terms_once(spark):
+    rows = spark.createDataFrame([(str(i), "2026-08", text, "a", 0.5) for i, text in enumerate(["fee fee", "a fee", "the app", "the app app", "  ", None, "éé"])], "complaint_id string, month string, narrative string, theme_name string, theme_similarity double")
+    found = themes.clusters(rows, k=2)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    assert [(r.complaints, r.share_of_complaints) for r in found.collect()] == [(2, 0.5), (2, 0.5)]
+
+
+def test_ngrams_copy_no_array_for_each_run(spark):
+    found = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,), (["a", None, "c"],)], "w array<string>").select(X.ngrams(F.col("w"), 1, 2, 3).alias("n"))
+    assert "slice(" not in found._jdf.queryExecution().toString()
+    assert [r.n for r in found.collect()] == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], [], [], ["a", "", "c", "a", "c", "a c"]]
+
+
 def test_leaders_of_disputes(spark):
     rows = spark.createDataFrame([("2026-08", 1, "travel", "web", ">660")] * 3 + [("2026-08", 1, "gas", "web", ">660")] * 3 + [("2026-08", 0, "gas", "web", ">660"), ("2026-07", 1, "gas", "web", ">660")], "month string, is_disputed int, merchant_category string, channel string, fico_band string")
     assert [tuple(r) for r in drivers.dispute_leaders(rows, "2026-08", n=2).collect()] == [("gas", "web", ">660", 3), ("travel", "web", ">660", 3)]

@@ -417,7 +417,9 @@ def theme_assignment_blake2(spark, sf_dir):
 
 @query
 def emerging_clusters(spark, sf_dir):
-    return themes.clusters(_labelled(spark, sf_dir), k=4)
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("complaint_id"), F.col("text").alias("narrative"))  # as in roles.complaints: no account or label is read
+    spread = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "complaint_id")  # a table may be one file
+    return themes.clusters(themes.assign(spread, TAXONOMY, min_similarity=0.02), k=4)
 
 
 # --- actions and evidence -----------------------------------------------------------------
