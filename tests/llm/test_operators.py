@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import base64
 import hashlib
 import random
 import re
@@ -522,3 +523,16 @@ def test_repeated_passages(spark, docs, empty, group):
     assert Counter((r.id, r.n_words, r.n_removed, r.kept_text) for r in got) == want
     assert all(sum(r.removed[1::2]) - sum(r.removed[::2]) == r.n_removed for r in got)
     assert substring_dedup.remove_repeats(spark, empty).count() == 0
+
+
+def test_a_worker_keeps_one_operators_model(monkeypatch):
+    import pickle
+    import sys
+
+    monkeypatch.delitem(sys.__dict__, "_tidemark_held", raising=False)
+    ranks = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256))
+    first = byte_bpe.encoder(ranks, ".")
+    assert byte_bpe.encoder(ranks, ".") is first
+    model = pickle.dumps("a model")
+    assert language_id.model_of(model) is language_id.model_of(model)
+    assert byte_bpe.encoder(ranks, ".") is not first

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
 from array import array
 from collections.abc import Iterator, Sequence
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.runtime import named, ship
+from tidemark.llm.runtime import held, named, ship
 from tidemark.llm.words import slices
 
 NEVER = 1 << 60
@@ -238,10 +237,7 @@ class Encoder:
 def encoder(ranks: bytes, pattern: str) -> Encoder:
     """One a worker process."""
     key = hashlib.sha256(ranks + pattern.encode()).digest()
-    held = sys.__dict__.setdefault("_tidemark_byte_bpe", {})
-    if key not in held:
-        held[key] = Encoder(Vocabulary.parse(ranks), pattern)
-    return held[key]
+    return held(("byte_bpe", key), lambda: Encoder(Vocabulary.parse(ranks), pattern))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.runtime import named, ship
+from tidemark.llm.runtime import held, named, ship
 from tidemark.llm.words import slices
 
 BUCKETS, USUAL, MOST_LANGS = 24, 4_096, 1_000
@@ -240,11 +240,7 @@ def transitions(codes: Sequence[int]) -> list[dict[int, int]]:
 def model_of(data: bytes) -> Model:
     """One a worker process."""
     key = hashlib.sha256(data).digest()
-    held = sys.__dict__.setdefault("_tidemark_language", {})
-    if key not in held:
-        held.clear()
-        held[key] = pickle.loads(data)
-    return held[key]
+    return held(("language", key), lambda: pickle.loads(data))
 
 
 def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: Sequence[str] = ()) -> DataFrame:

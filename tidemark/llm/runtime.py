@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from functools import cache
 from pathlib import Path
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +37,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: one model or vocabulary with its caches. Workers outlive an operator, so the next one's takes its
+    place, and the memory goes back to the system."""
+    own = sys.__dict__.setdefault("_tidemark_held", {})
+    if key not in own:
+        if own:
+            own.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+        own[key] = make()
+    return own[key]
+
+
 def named(column: str) -> Column:
     """The top-level column of that very name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
