@@ -37,9 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, position (the place in the training order), n_tokens, ids, and whether the ids decode to the text's bytes."""
     plays = mixing.read_order(docs).select("row.doc_id", "row.text", "position")
-    found = byte_bpe.round_trip(spark, plays, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, carry=("text", "position"))
-    same = F.col("decoded") == F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
-    return found.select(F.col("id").alias("doc_id"), "row.position", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    found = byte_bpe.round_trip(spark, plays, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, carry=("position",))
+    return found.select(F.col("id").alias("doc_id"), "row.position", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("same").alias("round_trip"))
 
 
 STAGES = [

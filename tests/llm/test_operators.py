@@ -557,3 +557,29 @@ def test_copies_travel_as_packs(spark, monkeypatch):
     assert all(got[i].n_removed == 90 for i in range(80, 83))
     (rows, suffixes), = made
     assert rows * 60 < suffixes  # an occurrence stands for some 14
+
+
+def test_a_chunk_after_a_space_is_remembered_once():
+    v = byte_bpe.Vocabulary({bytes([i]): i for i in range(256)})
+    e = byte_bpe.Encoder(v, r" ?\w+|[^\s\w]+|\s+")
+    assert e.decode(e.encode("one two three, four")) == b"one two three, four"
+    assert set(e.spaced) == {"two", "three,", "four"} and set(e.pieces) == {"one", " three", ","}
+
+
+def test_the_worker_says_whether_decoded_bytes_are_the_texts(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "é x"), (4, "")], "doc_id long, text string")
+    found = byte_bpe.round_trip(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert len(found) == 4 and all(r.same for r in found)
+    a, b = (np.frombuffer(x, np.uint8) for x in (b"abcd", b"abxd"))
+    assert byte_bpe._same(a, np.array([0, 2, 4]), b, np.array([0, 2, 4])).tolist() == [True, False]
+    assert byte_bpe._same(a, np.array([0, 2, 4]), a, np.array([0, 1, 4])).tolist() == [False, False]
+
+
+def test_a_worker_lets_go_of_what_it_held(monkeypatch):
+    import sys
+
+    from tidemark.llm import runtime
+
+    monkeypatch.setitem(sys.__dict__, "_tidemark_held", {"language": "a model"})
+    runtime.let_go()
+    assert not sys.__dict__["_tidemark_held"]

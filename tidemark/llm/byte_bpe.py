@@ -32,8 +32,8 @@ from tidemark.llm.runtime import held, named, ship
 from tidemark.llm.words import slices
 
 NEVER = 1 << 60
-CACHE_BYTES = 48 << 20  # of a generation of a cache, about; two generations are held
-BORDERS = 800_000  # that are remembered
+CACHE_BYTES = 32 << 20  # of a generation of a cache, about; two generations are held
+BORDERS = 400_000  # that are remembered
 
 
 class Vocabulary:
@@ -212,7 +212,10 @@ class Encoder:
     def _after_space(self, rest: str) -> bytes:
         if not rest or self.space(rest):
             raise _SpaceRun
-        return self._pieces(" " + rest)
+        found = self.find(" " + rest)
+        if len(found) == 1:  # remembered here; not as a piece too
+            return self._piece(found[0])
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, text: str) -> np.ndarray:
         """A space before anything but white space starts a match, whatever stands before it. So a text splits at its spaces, and what
@@ -240,8 +243,16 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     return held(("byte_bpe", key), lambda: Encoder(Vocabulary.parse(ranks), pattern))
 
 
+def _same(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Which texts have the same bytes in a and b? The ends have one entry more than there are texts."""
+    if np.array_equal(a_ends, b_ends) and np.array_equal(a, b):
+        return np.ones(len(b_ends) - 1, bool)
+    return np.array([np.array_equal(a[i:j], b[k:n]) for i, j, k, n in zip(a_ends, a_ends[1:], b_ends, b_ends[1:], strict=False)], bool)
+
+
 def round_trip(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: id, ids (array of int), decoded (the bytes that the ids stand for), row (a struct of the carried columns)."""
+    """One row per row of docs: id, ids (array of int), decoded (the bytes that the ids stand for), row (a struct of the carried columns),
+    same (whether decoded are the bytes of the text)."""
     ship(spark)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
@@ -257,10 +268,11 @@ def round_trip(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: s
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate(ids)
                 decoded, after = e.decode_many(flat, ends)
+                same = _same(decoded, after, buf, offs)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(after.astype(np.int64)), pa.py_buffer(decoded)]).cast(pa.binary())
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column("id"), lists, texts, own.column("row")], ["id", "ids", "decoded", "row"])
+                yield pa.RecordBatch.from_arrays([own.column("id"), lists, texts, own.column("row"), pa.array(same)], ["id", "ids", "decoded", "row", "same"])
 
     kinds = {f.name: f.dataType for f in source.schema.fields}
-    return source.mapInArrow(run, T.StructType([T.StructField("id", kinds["id"]), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), T.StructField("row", kinds["row"])]))
+    return source.mapInArrow(run, T.StructType([T.StructField("id", kinds["id"]), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), T.StructField("row", kinds["row"]), T.StructField("same", T.BooleanType())]))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.runtime import cut, ship
+from tidemark.llm.runtime import cut, let_go, ship
 
 COORDS, MATCHES, LEADERS = 32, 14, 3
 FEW = 1_000_000  # identifiers that may be broadcast: 40 MB
@@ -75,6 +75,7 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sizes, digests, sigs, briefs = [], [], [], []
             for s in _sets(batch.column("text"), k):
@@ -166,6 +167,7 @@ def confirm(docs: DataFrame, reps: DataFrame, few: DataFrame, many: DataFrame, k
     rows = there.unionByName(here).join(texts, "rep").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "part").sortWithinPartitions("block", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         at, index = None, None
         for batch in batches:
             a, b = [], []

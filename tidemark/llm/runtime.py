@@ -42,17 +42,23 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     place, and the memory goes back to the system."""
     own = sys.__dict__.setdefault("_tidemark_held", {})
     if key not in own:
-        if own:
-            own.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+        let_go()
         own[key] = make()
     return own[key]
 
 
+def let_go() -> None:
+    """Give up what another operator held in this worker process; for operators that hold nothing."""
+    own = sys.__dict__.get("_tidemark_held")
+    if own:
+        own.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
 def named(column: str) -> Column:
     """The top-level column of that very name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
