@@ -267,6 +267,58 @@ def test_bpe_cache_is_bounded_by_bytes(bpe, monkeypatch):
             assert sum(200 + 4 * len(k) + len(x) for k, x in cache.items()) <= 64 << 10 and all(len(k) < 300 for k in cache)
 
 
+def test_bpe_of_many_texts_has_no_table_a_piece(bpe, monkeypatch):
+    """Pieces that a slice brings anew share one forest; texts come out as from the library, whatever is remembered."""
+    v, _, library = bpe
+    r, made, table = random.Random(8), [], byte_bpe.PrefixTable
+    monkeypatch.setattr(byte_bpe, "PrefixTable", lambda *args: made.append(args) or table(*args))
+    monkeypatch.setattr(byte_bpe, "FEW", 1)
+    own = byte_bpe.Encoder(v, public_tokenizers.PATTERN)
+    parts = ["th", "ing", "er", "né", "ция", "x", "0", "'s", ".", ",\n", "-", "漢", "\u0301", "\x00", "😀"]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(6000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    texts += [t + r.choice(["", " ", "\n", " \n ", "  x"]) + t[:50] for t in texts[:100]] + ["", " ", "  ", "\n", " a", "a ", " \xa0b", texts[0], "'s"]
+    for size in (1, 16 << 10, 32 << 20):  # bytes of a generation: nothing fits, little, all
+        monkeypatch.setattr(byte_bpe, "CACHE_BYTES", size)
+        for k in range(0, len(texts), 300):
+            assert [x.tolist() for x in own.encode_many(texts[k : k + 300])] == [library.encode_ordinary(t) for t in texts[k : k + 300]]
+        assert all(c.size <= size and c.size == sum(200 + 4 * len(k) + len(x) for k, x in c.items()) for c in (own.pieces, own.plain, own.spaced))
+    assert max(len(w.encode()) for w in words) <= 64 and not made
+    long = [*texts, "ab" * 40, "漢" * 30 + "!" * 70]
+    assert [x.tolist() for x in own.encode_many(long)] == [library.encode_ordinary(t) for t in long] and len(made) >= 1
+    assert own.encode_many([]) == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_forest_equals_tables(seed, monkeypatch):
+    """Vocabularies with tokens that merging never makes, and few borders remembered."""
+    r = random.Random(seed)
+    ranks = {bytes([i]): i for i in range(256)}
+    while len(ranks) < 400:
+        old = [t for t in ranks if len(t) < 7 and (len(t) > 1 or t in b"abc ")]
+        ranks.setdefault(r.choice(old) + r.choice(old), len(ranks))
+    v = byte_bpe.Vocabulary(ranks)
+    monkeypatch.setattr(byte_bpe, "BORDER_BITS", 4)
+    monkeypatch.setattr(byte_bpe, "FOREST_BYTES", 2048)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    strings = ["".join(r.choice("abc") for _ in range(r.choice([1, 3, 8, 16, 17, 40, 64, 65, 90]))) for _ in range(700)] + [t.decode() for t in ranks if t.isalpha() and len(t) > 1]
+    data = [s.encode() for s in strings]
+    ids, ends = v.forest.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert any(not v.made(i) for i in v.bytes_of) and [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == [library.encode_ordinary(s) for s in strings]
+    del ranks[b"b"]
+    with pytest.raises((ValueError, KeyError)):
+        byte_bpe.Vocabulary(ranks).forest.encode(np.frombuffer(b"abc", np.uint8), np.array([0, 3]))
+
+
+def test_many_texts_by_other_patterns():
+    """Patterns that leave out something, or whose matches don't start at spaces, give what one text at a time gives."""
+    v, r = byte_bpe.Vocabulary({bytes([i]): i for i in range(256)} | {b"ab": 256, b" a": 257}), random.Random(3)
+    texts = [" ".join("".join(r.choice("ab1.") for _ in range(r.randint(1, 9))) for _ in range(30)) for _ in range(100)]
+    for pattern in (r"\w+", ".", r" ?\w+|[^\s\w]+|\s+", r" ?[a-z]+| ?1"):
+        one, many = byte_bpe.Encoder(v, pattern), byte_bpe.Encoder(v, pattern)
+        assert [x.tolist() for x in many.encode_many(texts)] == [one.encode(t).tolist() for t in texts]
+
+
 def test_bpe_appends_and_edits(bpe):
     v, _, _ = bpe
     r = random.Random(6)
